@@ -10,12 +10,14 @@ from .ledger import OP1_SQL, op1_ledger
 from .ngram_join import OP7_SQL, op7_ngram_join
 from .repair import op2_repair
 from .secrets import op9_secrets
+from .toxicity import op4_toxicity
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_ledger": op1_ledger,
     "op2_repair": op2_repair,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_extract": op6_extract,
     "op7_ngram_join": op7_ngram_join,

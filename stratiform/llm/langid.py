@@ -271,6 +271,26 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: Model | None, least: float = 0.2) -> DataFrame:
+    """The rows, all columns, whose language is recognised: not `und`, score at least `least`."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    path = os.path.join(tempfile.mkdtemp(prefix="stratiform-"), "langid.pkl")
+    with open(path, "wb") as f:
+        pickle.dump(model, f)
+    name, at = distribute(spark, path), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(name)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                keep = [lang != "und" and score >= least for lang, score in classify(model, part.column(at).to_pylist())]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str, vocab: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, train(docs, vocab or tokenizer_path("piece_bpe_32k.model")))

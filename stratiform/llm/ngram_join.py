@@ -209,6 +209,14 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, all columns, without those whose component has a smaller doc_id; of repeated
+    rows with one doc_id and text, one stays. Rows without a doc_id stay."""
+    found = components(docs.select("doc_id", "text"), k, percent)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

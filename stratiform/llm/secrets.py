@@ -138,5 +138,29 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
 
 
+def redact_documents(docs: DataFrame, allow: tuple[str, ...] = ALLOW, length_column: str | None = None) -> DataFrame:
+    """The rows, all columns, with every span of every text replaced by a mark; the column
+    named length_column gets the new number of characters where the text changed."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index("text")
+    size_at = docs.columns.index(length_column) if length_column else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = [re.compile(p) for p in allow]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                old = part.column(at).to_pylist()
+                new = [redact(t, spans) if t and (spans := base_spans(t) + entropy_spans(t, patterns)) else t for t in old]
+                columns = list(part.columns)
+                columns[at] = pa.array(new, columns[at].type)
+                if size_at is not None:
+                    sizes = columns[size_at].to_pylist()
+                    columns[size_at] = pa.array([len(n) if n is not o else s for o, n, s in zip(old, new, sizes, strict=True)], columns[size_at].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("redacted")
