@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,12 +28,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import ship_package
 from .files import distribute, local_path, tokenizer_path
 from .store import fresh_dir, materialize, read_bytes, write_atomic
+from .textops import PieceIds, slices
 
 MAGIC = b"RPR1"
 NO_ID = -(1 << 63)
+#: Bits of the table in which pairs are counted.
+SLOTS = 18
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 4, per_round: int = 1024, least: int = 8):
+def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 3, per_round: int = 2048, least: int = 8):
     """(symbols, first symbol of each document, rules, first nonterminal).
 
     ids: all documents' ids; ends: index after the last id of each document.
@@ -49,28 +51,32 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 4, per_round: int
         if len(seq) < 2:
             break
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        open_ = ~last[:-1]
-        count = np.bincount(slot[open_], minlength=1 << 20)
+        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int32)
+        count = np.bincount(slot, minlength=1 << SLOTS)
         level = max(least, int(np.partition(count, -per_round)[-per_round]))
-        where = np.flatnonzero((count >= level)[slot] & open_)
-        if not len(where):
-            break
-        pairs, inverse, n = np.unique(key[where], return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")[:per_round]
-        order = order[n[order] >= least]
+        where = np.flatnonzero((count >= level)[slot] & ~last[:-1])
+        # one pair stands for each frequent slot of the hash table; others in it wait for a later round
+        pair = np.zeros(1 << SLOTS, np.uint64)
+        slot, key = slot[where], key[where]
+        pair[slot] = key
+        same = pair[slot] == key
+        where, slot = where[same], slot[same]
+        count = np.bincount(slot, minlength=1 << SLOTS)
+        order = np.flatnonzero(count >= least)
+        order = order[np.argsort(-count[order], kind="stable")][:per_round]
         if not len(order):
             break
-        symbol = np.zeros(len(pairs), np.uint32)
+        symbol = np.zeros(1 << SLOTS, np.uint32)
         symbol[order] = np.arange(nxt, nxt + len(order))
-        new = symbol[inverse]
+        new = symbol[slot]
         where, new = where[new > 0], new[new > 0]
         # of overlapping occurrences every second one is taken, from the left
         run = np.flatnonzero(np.diff(where, prepend=-2) != 1)
         begin = np.repeat(where[run], np.diff(np.append(run, len(where))))
         take = (where - begin) % 2 == 0
         where, new = where[take], new[take]
-        rules.append(np.stack([pairs[order] >> np.uint64(32), pairs[order] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        pair = pair[order]
+        rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         nxt += len(order)
         seq[where] = new
         last[where] = last[where + 1]
@@ -91,27 +97,19 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def flat_rules(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """All expansions one after another, and where each begins."""
+    """The expansions of all symbols one after another (an id below base is its own), and where each begins."""
     out: list[list[int]] = []
     for a, b in rules.tolist():
         out.append((out[a - base] if a >= base else [a]) + (out[b - base] if b >= base else [b]))
-    begin = np.cumsum([0] + [len(x) for x in out])
-    return np.array([t for x in out for t in x], np.uint32), begin
+    begin = np.concatenate([np.arange(base + 1), base + np.cumsum([len(x) for x in out], dtype=np.int64)])
+    return np.concatenate([np.arange(base, dtype=np.uint32), np.array([t for x in out for t in x], np.uint32)]), begin
 
 
-def expand(symbols: np.ndarray, flat: np.ndarray, begin: np.ndarray, base: int) -> np.ndarray:
-    symbols = symbols.astype(np.int64)
-    rule = symbols >= base
-    length = np.ones(len(symbols), np.int64)
-    length[rule] = np.diff(begin)[symbols[rule] - base]
+def expand(symbols: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    first = begin[symbols]
+    length = begin[symbols.astype(np.int64) + 1] - first
     total = np.cumsum(length)
-    out = np.repeat(np.where(rule, 0, symbols), length)
-    at = np.repeat(rule, length)
-    inner = np.arange(len(out)) - np.repeat(total - length, length)
-    first = np.zeros(len(symbols), np.int64)
-    first[rule] = begin[symbols[rule] - base]
-    out[at] = flat[(np.repeat(first, length) + inner)[at]] if at.any() else 0
-    return out.astype(np.uint32)
+    return flat[np.repeat(first - total + length, length) + np.arange(total[-1] if len(total) else 0)]
 
 
 def pack(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray, start: int) -> list[bytes]:
@@ -150,7 +148,11 @@ class Shard:
         return self.symbols[self.stops[k - 1] if k else 0 : self.stops[k]]
 
     def ids(self, k: int) -> np.ndarray:
-        return expand(self._symbols(k), self.flat, self.begin, self.head["base"])
+        return expand(self._symbols(k), self.flat, self.begin)
+
+    def all_ids(self) -> np.ndarray:
+        """All documents' ids, one after another."""
+        return expand(self.symbols, self.flat, self.begin)
 
     def token(self, k: int, j: int) -> int:
         s = self._symbols(k).astype(np.int64)
@@ -161,44 +163,61 @@ class Shard:
         ends = np.cumsum(length)
         i = int(np.searchsorted(ends, j, "right"))
         inner = j - int(ends[i] - length[i])
-        return int(self.flat[self.begin[s[i] - base] + inner]) if rule[i] else int(s[i])
+        return int(self.flat[self.begin[s[i]] + inner])
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(name: str):
+def _encoder(name: str) -> PieceIds:
+    return PieceIds(library_encoder(local_path(name)))
+
+
+def library_encoder(path: str):
+    """A function from pieces of UTF-8 text to their ids, one after another, and their numbers of ids.
+
+    No token of this tokenizer spans white space, so pieces can be encoded alone. Pieces of
+    letters that every Unicode version treats alike are one word each: many go to the library
+    as one text, and the ids that end a word tell them apart.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(local_path(name))
+    t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return t, {}
-
-
-CACHE = 300_000
-
-
-def encode_texts(texts: list[bytes], tokenizer, cache: dict, end_id: int) -> Iterator[bytes]:
-    """Ids of each UTF-8 text and the end id, as little-endian unsigned 32-bit integers.
-
-    No token of this tokenizer spans ASCII white space, so texts are cut there and the
-    library encodes each distinct piece once; results of common pieces are kept.
-    """
-    end = struct.pack("<I", end_id)
-    for lo in range(0, len(texts), 256):
-        split = [t.split() for t in texts[lo : lo + 256]]
-        new = list(set().union(*split) - cache.keys()) if split else []
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                cache[piece] = np.array(e.ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join([cache[w] for w in words]) + end
+    last = np.zeros(t.get_vocab_size(), bool)
+    last[[i for token, i in t.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def learn(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.decode() for p in pieces]
+        sizes = np.zeros(len(texts), np.int64)
+        simple = np.array([x.isalpha() and (x.isascii() or max(x) < "\u0130") for x in texts], bool)
+        found: list[np.ndarray] = []
+        one, rest = np.flatnonzero(simple), np.flatnonzero(~simple)
+        for lo in range(0, len(one), 2048):
+            part = one[lo : lo + 2048]
+            ids = np.array(t.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(last[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("a word of letters was cut")
+            sizes[part] = np.diff(stops, prepend=0)
+            found.append(ids)
+        for i in range(0, len(rest), 2048):
+            part = rest[i : i + 2048]
+            for k, e in zip(part.tolist(), t.encode_batch_fast([texts[j] for j in part], add_special_tokens=False), strict=True):
+                sizes[k] = len(e.ids)
+                found.append(np.array(e.ids, np.uint32))
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        order = np.concatenate([one, rest])
+        if len(rest):  # back to the order of the pieces
+            begin = np.zeros(len(texts), np.int64)
+            begin[order] = np.cumsum(sizes[order]) - sizes[order]
+            total = np.cumsum(sizes)
+            ids = ids[np.repeat(begin - (total - sizes), sizes) + np.arange(len(ids))]
+        return ids, sizes
+
+    return learn
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens: int = 2_000_000) -> DataFrame:
@@ -218,29 +237,29 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        tokenizer, cache = _tokenizer(name)
-        ids, parts, size, start, out = [], [], 0, 0, []
+        encoder = _encoder(name)
+        docs, parts, counts, size, start, out = [], [], [], 0, 0, []
 
         def flush() -> None:
-            nonlocal ids, parts, size, start
-            all_ids = np.frombuffer(b"".join(parts), "<u4")
-            ends = np.cumsum([len(p) // 4 for p in parts])
+            nonlocal docs, parts, counts, size, start
+            ids, n = np.concatenate(parts), np.concatenate(counts)
             path = f"{folder}/part-{part:06d}-{len(out):05d}.rpr"
-            write_atomic(path, pack(np.array(ids, np.int64), all_ids, ends, start))
-            out.append((part, len(out), path, start, len(ids), len(all_ids)))
-            start += len(all_ids)
-            ids, parts, size = [], [], 0
+            write_atomic(path, pack(np.concatenate(docs), ids, np.cumsum(n), start))
+            out.append((part, len(out), path, start, len(n), len(ids)))
+            start += len(ids)
+            docs, parts, counts, size = [], [], [], 0
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for lo in range(0, len(texts), 256):
-                for doc, enc in zip(batch.column(0)[lo : lo + 256].to_pylist(), encode_texts(texts[lo : lo + 256].to_pylist(), tokenizer, cache, end_id), strict=True):
-                    ids.append(NO_ID if doc is None else doc)
-                    parts.append(enc)
-                    size += len(enc) // 4
-                    if size >= shard_tokens:
-                        flush()
-        if ids:
+            names = batch.column(0).fill_null(NO_ID).to_numpy()
+            for i, data, off in slices(batch.column(1)):
+                ids, n = encoder.encode(data, off)
+                parts.append(np.insert(ids, np.cumsum(n), np.uint32(end_id)))
+                counts.append(n + 1)
+                docs.append(names[i : i + len(n)])
+                size += len(parts[-1])
+                if size >= shard_tokens:
+                    flush()
+        if size:
             flush()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["part", "seq", "path", "start", "n_docs", "n_tokens"])
@@ -267,14 +286,11 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for path, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(read_bytes(path))
                 starts = offset + np.cumsum(shard.counts) - shard.counts
-                docs, crc, n, packed = [], [], [], []
-                for k in range(len(shard.doc_ids)):
-                    ids = shard.ids(k)
-                    docs.append(None if shard.doc_ids[k] == NO_ID else int(shard.doc_ids[k]))
-                    n.append(len(ids))
-                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    packed.append(int(shard.stops[k] - (shard.stops[k - 1] if k else 0)))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(packed, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "n_symbols"])
+                raw = memoryview(shard.all_ids().astype("<u4").tobytes())
+                at = np.concatenate([[0], np.cumsum(shard.counts)]) * 4
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                docs = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NO_ID)
+                yield pa.RecordBatch.from_arrays([docs, pa.array(starts, pa.int64()), pa.array(shard.counts, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(shard.stops, prepend=0), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "n_symbols"])
 
     return todo.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
 

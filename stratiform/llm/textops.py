@@ -122,3 +122,132 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + d, combine([h[j : j + 1] for j in range(a, b)])
             else:
                 yield i + d, np.zeros(0, U)
+
+#: Byte classes for cutting text into pieces: white space, ASCII letters, ASCII marks but the apostrophe, the rest.
+KIND = np.full(256, 3, np.uint8)
+KIND[SPACE] = 0
+KIND[65:91] = KIND[97:123] = 1
+KIND[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 2
+
+
+def piece_bounds(data: np.ndarray, off: np.ndarray, cut_marks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_bounds, over runs without ASCII white space; with cut_marks such runs are
+    also cut between an ASCII letter and an ASCII mark (never at an apostrophe)."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    kind = KIND[data]
+    edge = np.ones(n + 1, bool)  # edge[i]: a boundary before byte i
+    a, b = kind[:-1], kind[1:]
+    edge[1:-1] = (a == 0) | (b == 0)
+    if cut_marks:
+        edge[1:-1] |= (a + b == 3) & (a != 0) & (b != 0)
+    edge[off] = True
+    word = kind != 0
+    starts = np.flatnonzero(edge[:-1] & word)
+    ends = np.flatnonzero(edge[1:] & word) + 1
+    return starts, ends, np.searchsorted(starts, off)
+
+
+class WordTable:
+    """Open addressing from 64-bit hashes to consecutive numbers, a whole batch at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.clear(bits)
+
+    def clear(self, bits: int = 16) -> None:
+        self.bits, self.n = bits, 0
+        self.keys = np.zeros(1 << bits, U)
+        self.number = np.zeros(1 << bits, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the hashes, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        last = (1 << self.bits) - 1
+        slot = (h >> U(64 - self.bits)).astype(np.int64)
+        k = self.keys[slot]
+        hit = k == h
+        out[hit] = self.number[slot[hit]]
+        todo = np.flatnonzero(~hit & (k != 0))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & last
+            k = self.keys[slot]
+            hit = k == h[todo]
+            out[todo[hit]] = self.number[slot[hit]]
+            more = ~hit & (k != 0)
+            todo, slot = todo[more], slot[more]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Number distinct hashes that are not in the table, in their order."""
+        while (self.n + len(h)) * 2 > len(self.keys):
+            old, num = self.keys, self.number
+            self.bits += 2
+            self.keys, self.number = np.zeros(1 << self.bits, U), np.zeros(1 << self.bits, np.int32)
+            self._put(old[old != 0], num[old != 0])
+        self._put(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
+        self.n += len(h)
+
+    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
+        last = (1 << self.bits) - 1
+        slot = (h >> U(64 - self.bits)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[todo[free]]
+            won = self.keys[slot] == h[todo]
+            self.number[slot[won]] = number[todo[won]]
+            todo, slot = todo[~won], (slot[~won] + 1) & last
+
+
+class PieceIds:
+    """Ids of pieces of text by their hashes; `learn` encodes the pieces that are new.
+
+    At most `most` pieces are kept; the table starts anew beyond that.
+    """
+
+    def __init__(self, learn, most: int = 2_000_000):
+        self.learn, self.most = learn, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.table = WordTable()
+        self.begin, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = self.table.n
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(sizes) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[n + 1 : n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a slice of texts, and how many each document has."""
+        plain = b"<|" not in data.tobytes()  # else an added token may be there: case and marks matter
+        if plain:
+            data = LOWER[data]
+        starts, ends, first = piece_bounds(data, off, plain)
+        h = word_hashes(data, starts, ends)
+        h[h == 0] = U(1)
+        number = self.table.find(h)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, at = np.unique(h[missing], return_index=True)
+            if self.table.n + len(new) > self.most and self.table.n:
+                self.reset()
+                new, at = np.unique(h, return_index=True)
+                missing = np.arange(len(h))
+            at = missing[at]
+            raw = data.tobytes()
+            ids, sizes = self.learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._store(ids, sizes)
+            self.table.add(new)
+            number[missing] = self.table.find(h[missing])
+        size = self.begin[number + 1] - self.begin[number]
+        total = np.concatenate([[0], np.cumsum(size)])
+        out = self.flat[np.repeat(self.begin[number] - total[:-1], size) + np.arange(total[-1])]
+        return out, np.diff(total[first])
