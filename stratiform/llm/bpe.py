@@ -32,11 +32,13 @@ from ..session import ship_package
 from .files import distribute, local_path, tokenizer_path
 from .lexicon import MAX_WORD, Lexicon, build, save
 from .store import materialize
+from .textops import PieceCounts, PieceIds, slices
 
 #: Characters below this are NFC-stable, lower-case one to one, and classed alike by every Unicode version.
 PLAIN = "İ"
 NONE = 1 << 62
-CACHE = 300_000
+#: Distinct pieces whose counts a task holds before it hands them on.
+CACHE = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -149,33 +151,26 @@ class Encoder:
         self.merges = Merges(tokenizer)
         self.splitter = Splitter(self.merges)
         self.lexicon = Lexicon(lexicon)
-        self.pieces: dict[bytes, list[int]] = {}
+        self.ids = PieceIds(self.learn)
         self.decimal = [str(i) for i in range(len(self.merges.tokens))]
 
-    def learn(self, new: list[bytes]) -> None:
-        split = [self.splitter.words(p.decode()) for p in new]
+    def learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and each one's number of ids: words of the
+        lexicon through the transducer, others by merging."""
+        split = [self.splitter.words(p.decode()) for p in pieces]
         words = list({w for ws in split for w in ws if type(w) is bytes})
-        numbers = self.lexicon.lookup(words)
         begin, flat = self.lexicon.arrays["out_begin"], self.lexicon.arrays["out_ids"]
         ids = {}
-        for w, k in zip(words, numbers.tolist(), strict=True):
+        for w, k in zip(words, self.lexicon.lookup(words).tolist(), strict=True):
             ids[w] = flat[begin[k] : begin[k + 1]].tolist() if k >= 0 else self.merges.word(w)
-        for p, ws in zip(new, split, strict=True):
-            self.pieces[p] = ids[ws[0]] if len(ws) == 1 and type(ws[0]) is bytes else [i for w in ws for i in ((w,) if type(w) is int else ids[w])]
-
-    def encode(self, texts: list[bytes]) -> Iterator[list[int]]:
-        for lo in range(0, len(texts), 256):
-            split = [t.split() for t in texts[lo : lo + 256]]
-            every = set().union(*split)
-            if len(self.pieces) + len(every) > CACHE:
-                self.pieces.clear()
-            self.learn(list(every - self.pieces.keys()))
-            pieces = self.pieces
-            for words in split:
-                out: list[int] = []
-                for w in words:
-                    out += pieces[w]
-                yield out
+        out = [ids[ws[0]] if len(ws) == 1 and type(ws[0]) is bytes else [i for w in ws for i in ((w,) if type(w) is int else ids[w])] for ws in split]
+        return np.array([i for x in out for i in x], np.uint32), np.array([len(x) for x in out], np.int64)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text of an Arrow column."""
+        for _, data, off in slices(texts):
+            ids, n = self.ids.encode(data, off)
+            yield from np.split(ids, np.cumsum(n)[:-1])
 
     def decode(self, ids: list[int]) -> str:
         tokens = self.merges.tokens
@@ -188,23 +183,22 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     name = distribute(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, count = _splitter(name), Counter()
+        splitter, count = _splitter(name), PieceCounts()
 
         def flush() -> pa.RecordBatch:
+            nonlocal count
             words: Counter = Counter()
-            for piece, n in count.items():
+            for piece, n in zip(count.pieces, count.count.tolist(), strict=False):
                 for w in splitter.words(piece.decode()):
                     if type(w) is bytes and len(w) <= MAX_WORD:
                         words[w] += n
-            count.clear()
+            count = PieceCounts()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
-            for lo in range(0, len(texts), 64):
-                for t in texts[lo : lo + 64].to_pylist():
-                    count.update(t.split())
-                if len(count) > CACHE:
+            for _, data, off in slices(batch.column(0)):
+                count.add(data, off)
+                if len(count.pieces) > CACHE:
                     yield flush()
         yield flush()
 
@@ -249,18 +243,18 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str, digests: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(*names)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 if digests:
                     n, a, b = [], [], []
-                    for ids in enc.encode(texts):
+                    for ids in enc.encode(part.column(1)):
+                        ids = ids.tolist()
                         n.append(len(ids))
                         a.append(hashlib.sha256(" ".join([enc.decimal[i] for i in ids]).encode()).hexdigest())
                         b.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.array(x, np.int32) for x in enc.encode(texts)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(np.int32) for x in enc.encode(part.column(1))], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

@@ -227,27 +227,60 @@ class PieceIds:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice of texts, and how many each document has."""
-        plain = b"<|" not in data.tobytes()  # else an added token may be there: case and marks matter
-        if plain:
-            data = LOWER[data]
-        starts, ends, first = piece_bounds(data, off, plain)
-        h = word_hashes(data, starts, ends)
-        h[h == 0] = U(1)
-        number = self.table.find(h)
-        missing = np.flatnonzero(number < 0)
-        if len(missing):
-            new, at = np.unique(h[missing], return_index=True)
-            if self.table.n + len(new) > self.most and self.table.n:
-                self.reset()
-                new, at = np.unique(h, return_index=True)
-                missing = np.arange(len(h))
-            at = missing[at]
-            raw = data.tobytes()
-            ids, sizes = self.learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            self._store(ids, sizes)
-            self.table.add(new)
-            number[missing] = self.table.find(h[missing])
+        pieces = Pieces(data, off)
+        number, new = pieces.numbers(self.table)
+        if self.table.n + len(new) > self.most and self.table.n:
+            self.reset()
+            number, new = pieces.numbers(self.table)
+        if len(new):
+            self._store(*self.learn(pieces.raw(new)))
+            self.table.add(pieces.hashes[new])
+            todo = number < 0
+            number[todo] = self.table.find(pieces.hashes[todo])
         size = self.begin[number + 1] - self.begin[number]
         total = np.concatenate([[0], np.cumsum(size)])
         out = self.flat[np.repeat(self.begin[number] - total[:-1], size) + np.arange(total[-1])]
-        return out, np.diff(total[first])
+        return out, np.diff(total[pieces.first])
+
+
+class Pieces:
+    """The pieces of a slice of texts and their hashes. Letters are lower-cased and marks cut
+    off unless an added token may be there, where case and marks matter."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        plain = b"<|" not in data.tobytes()
+        self.data = LOWER[data] if plain else data
+        self.starts, self.ends, self.first = piece_bounds(self.data, off, plain)
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        self.hashes[self.hashes == 0] = U(1)
+
+    def numbers(self, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
+        """Each piece's number in the table or -1, and one place of every piece that is missing there."""
+        number = table.find(self.hashes)
+        missing = np.flatnonzero(number < 0)
+        _, at = np.unique(self.hashes[missing], return_index=True)
+        return number, missing[at]
+
+    def raw(self, at: np.ndarray) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
+
+class PieceCounts:
+    """Counts of distinct pieces over many slices."""
+
+    def __init__(self):
+        self.table, self.pieces, self.count = WordTable(), [], np.zeros(1 << 16, np.int64)
+
+    def add(self, data: np.ndarray, off: np.ndarray) -> None:
+        pieces = Pieces(data, off)
+        number, new = pieces.numbers(self.table)
+        if len(new):
+            self.pieces += pieces.raw(new)
+            self.table.add(pieces.hashes[new])
+            todo = number < 0
+            number[todo] = self.table.find(pieces.hashes[todo])
+        n = np.bincount(number)
+        while len(n) > len(self.count):
+            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+        self.count[: len(n)] += n
