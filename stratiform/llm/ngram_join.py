@@ -18,7 +18,9 @@ per pair.
 
 Work does not grow with the square of a group: equal sets are one class from the start; the
 first rounds verify only members of a meeting point against one hub of it; what these links
-connect is one component; only pairs of different components are compared after that.
+connect is one component. What is left, sets that met one of another component, is joined
+once more by the prefixes of the n-gram order by frequency, rare ones first; there the pairs
+of different components are compared whose n-grams that others have at all suffice for a link.
 
 Cases: null, empty and white-space texts have no n-grams and link with nothing; documents of
 fewer than k words have their word sequence as one n-gram; a null doc_id takes part, and is
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import ship_package
 from .store import materialize
@@ -40,7 +42,7 @@ from .textops import U, combine, mix, shingle_sets
 
 FRAGMENTS = 8
 SALTS = 16
-ROUNDS = 2
+ROUNDS = 3
 FIRST_CLASS = 8
 
 
@@ -145,6 +147,47 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
 
 
+def grams_of(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(cls, gram) of the members."""
+    rows = sets.join(members.select("cls"), "cls", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                grams = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                cls = np.repeat(part.column(0).to_numpy(), [len(g) for g in grams])
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(np.concatenate(grams), pa.int64())], ["cls", "gram"])
+
+    return rows.select("cls", "grams").mapInArrow(run, "cls long, gram long")
+
+
+def unique_grams(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(cls, alone): n-grams of each member that no other member has."""
+    alone = grams_of(sets, members).groupBy("gram").agg(F.min("cls").alias("cls"), F.count("*").alias("n")).where("n = 1")
+    return alone.groupBy("cls").agg(F.count("*").alias("alone"))
+
+
+def prefix_pairs(sets: DataFrame, members: DataFrame, percent: int, possible: Column) -> DataFrame:
+    """Pairs (a, b, na, nb) of members (cls, n, most, label) that share an n-gram within both
+    prefixes of the order by frequency among the members. A link of two sets of sizes na and nb
+    needs o n-grams in common, so one of them is among the first na - o + 1 and nb - o + 1."""
+    grams = grams_of(sets, members)
+    counts = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "gram")) - 1
+    ranked = grams.join(counts.where("df > 1"), "gram", "left").select("cls", "gram", F.coalesce("df", F.lit(1)).alias("df")).withColumn("at", place)
+    ranked = ranked.where("df > 1").join(members, "cls").where(f"100 * (n - at) >= {percent} * n")
+    mixed = ranked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
+    ranked = materialize(ranked.join(mixed, "gram"), "prefixes")
+
+    def side(x: str) -> DataFrame:
+        return ranked.select(F.col("gram").alias(f"g{x}"), F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("label").alias(f"l{x}"), F.col("at").alias(f"at{x}"))
+
+    reach = lambda x: F.expr(f"{100 + percent} * (n{x} - at{x}) >= {percent} * (na + nb)")
+    met = side("a").join(side("b"), (F.col("ga") == F.col("gb")) & F.expr("a < b") & possible & reach("a") & reach("b"))
+    return met.select("a", "b", "na", "nb")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex reachable, for every vertex of links (a, b).
 
@@ -171,26 +214,33 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     met = posts.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
     posts = materialize(posts.join(met, "key"), "posts")
     sets = materialize(fragment_sets(docs, posts.select(F.col("first").alias("doc_id")), k), "fragments")
-    near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    # a set has at most in common with another what it does not have alone; without enough of that it has no link
+    alone = unique_grams(sets, posts.select("cls").distinct())
+    most = F.col("n") - F.coalesce("alone", F.lit(0))
+    posts = materialize(posts.join(alone, "cls", "left").select("key", "cls", "n", most.alias("most")).where(f"100 * most >= {percent} * n"), "linkable")
+    possible = F.expr(f"a <> b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND (100 + {percent}) * least(ma, mb) >= {percent} * (na + nb)")
     link = F.expr(f"100 * common >= {percent} * (na + nb - common)")
 
+    def side(rows: DataFrame, x: str) -> list:
+        return [F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("label").alias(f"l{x}")]
+
     checked = links = labels = None
     for step in range(ROUNDS + 1):
-        rows = posts.select("key", "cls", "n")
-        if labels is not None:
-            rows = rows.join(labels, rows["cls"] == labels["v"], "left").select("key", "cls", "n", F.coalesce("label", "cls").alias("label"))
+        if labels is None:
+            rows = posts.withColumn("label", F.col("cls"))
         else:
-            rows = rows.withColumn("label", F.col("cls"))
-        rows = materialize(rows, "posts")
-        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(F.col("cls").alias("hub"), F.col("n").alias("nh"), F.col("label").alias("lh")), F.xxhash64("cls", F.lit(step))).alias("h")).where("lo <> hi").select("key", "h.*")
+            rows = materialize(posts.join(labels, posts["cls"] == labels["v"], "left").select(*posts.columns, F.coalesce("label", "cls").alias("label")), "posts")
+        # the hub of a meeting point: a set with little of its own, another one each round
+        order = F.struct(((F.col("n") - F.col("most")) / F.lit(3 * step + 1)).cast("long"), F.xxhash64("cls", F.lit(step)))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(*side(rows, "a")), order).alias("hub")).where("lo <> hi").select("key", "hub.*")
         if step < ROUNDS:
-            met = rows.join(mixed, "key").where("label <> lh")
-            pairs = met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), F.when(F.col("cls") < F.col("hub"), F.col("n")).otherwise(F.col("nh")).alias("na"), F.when(F.col("cls") < F.col("hub"), F.col("nh")).otherwise(F.col("n")).alias("nb"))
+            met = mixed.join(rows.select(F.col("key").alias("key2"), *side(rows, "b")), (F.col("key") == F.col("key2")) & possible)
+            swap = F.col("a") > F.col("b")
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
         else:
-            left = rows.join(mixed.select("key"), "key")
-            right = left.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = left.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")).join(right, "key").where("a < b and la <> lb").where(near).select("a", "b", "na", "nb")
-        pairs = pairs.where(near).distinct()
+            left = materialize(rows.join(mixed.select("key"), "key", "left_semi").select("cls", "n", "most", "label").distinct(), "members")
+            pairs = prefix_pairs(sets, left, percent, possible)
+        pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = materialize(overlaps(pairs, sets), "overlaps")
