@@ -89,7 +89,7 @@ class Pieces:
         c = _hash(cp)
         h, at = c.copy(), []
         for n in range(1, LONGEST_PIECE + 1):
-            if n > 1:
+            if n > 1 and len(h) >= n:
                 h[: len(h) - n + 1] = h[: len(h) - n + 1] * MULT + c[n - 1 :]
             out = np.full(len(cp), -1, np.int32)
             fits = np.flatnonzero(left >= n)

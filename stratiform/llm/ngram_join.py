@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import ship_package
-from .store import materialize
+from .store import materialize, release
 from .textops import U, combine, mix, shingle_sets
 
 FRAGMENTS = 8
@@ -208,16 +208,23 @@ def connected(links: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    described = materialize(describe(docs, k, percent), "sets")
-    classes = described.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    posts = classes.select("cls", "n", "first", F.explode("keys").alias("key"))
-    met = posts.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
+    spark = docs.sparkSession
+    signed = materialize(describe(docs, k, percent), "signatures")
+    described = materialize(signed.drop("keys"), "sets")
+    # the large tables hold keys and classes alone; a key is in a class once, so counts tell what meets
+    posts = signed.where("n > 0").groupBy("cls", "cls2", "n").agg(F.first("keys").alias("keys")).select("cls", F.explode("keys").alias("key"))
+    met = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     posts = materialize(posts.join(met, "key"), "posts")
+    release(spark, signed)
+    classes = described.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    posts = materialize(posts.join(classes.select("cls", "n", "first"), "cls"), "posts")
     sets = materialize(fragment_sets(docs, posts.select(F.col("first").alias("doc_id")), k), "fragments")
+    release(spark)
     # a set has at most in common with another what it does not have alone; without enough of that it has no link
     alone = unique_grams(sets, posts.select("cls").distinct())
     most = F.col("n") - F.coalesce("alone", F.lit(0))
     posts = materialize(posts.join(alone, "cls", "left").select("key", "cls", "n", most.alias("most")).where(f"100 * most >= {percent} * n"), "linkable")
+    release(spark)
     possible = F.expr(f"a <> b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND (100 + {percent}) * least(ma, mb) >= {percent} * (na + nb)")
     link = F.expr(f"100 * common >= {percent} * (na + nb - common)")
 

@@ -39,7 +39,7 @@ SLOTS = 18
 def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 3, per_round: int = 2048, least: int = 8):
     """(symbols, first symbol of each document, rules, first nonterminal).
 
-    ids: all documents' ids; ends: index after the last id of each document.
+    ids: all documents' ids; ends: index after the last id of each document, which has one id at least.
     """
     base = int(ids.max(initial=0)) + 1
     seq = ids.astype(np.uint32)

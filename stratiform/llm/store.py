@@ -6,6 +6,7 @@ All intermediate tables and files live under the folder that the cluster names i
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,7 +34,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to shared storage and read it back: lineage ends at durable files."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again, and let Spark drop the
+    shuffle files of DataFrames that are gone (it does so when their driver objects are collected)."""
+    for table in tables:
+        remove(spark, table.stored_at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, uri: str) -> None:
