@@ -204,11 +204,12 @@ class WordTable:
 class PieceIds:
     """Ids of pieces of text by their hashes; `learn` encodes the pieces that are new.
 
-    At most `most` pieces are kept; the table starts anew beyond that.
+    `cut` cuts a slice of texts into pieces. At most `most` pieces are kept; the table
+    starts anew beyond that.
     """
 
-    def __init__(self, learn, most: int = 2_000_000):
-        self.learn, self.most = learn, most
+    def __init__(self, learn, most: int = 2_000_000, cut=None):
+        self.learn, self.most, self.cut = learn, most, cut or Pieces
         self.reset()
 
     def reset(self) -> None:
@@ -227,7 +228,7 @@ class PieceIds:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice of texts, and how many each document has."""
-        pieces = Pieces(data, off)
+        pieces = self.cut(data, off)
         number, new = pieces.numbers(self.table)
         if self.table.n + len(new) > self.most and self.table.n:
             self.reset()
@@ -266,6 +267,16 @@ class Pieces:
         return [raw[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
 
+class Words(Pieces):
+    """Words, A-Z lower-cased, instead of pieces."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data = LOWER[data]
+        self.starts, self.ends, self.first = word_bounds(self.data, off, NOT_SPACE)
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        self.hashes[self.hashes == 0] = U(1)
+
+
 class PieceCounts:
     """Counts of distinct pieces over many slices."""
 

@@ -3,8 +3,8 @@
 Categories are predicted one after the other; the model of a category sees the text's
 features and the probabilities of the categories before it. In training those are
 out-of-fold predictions, so a model never sees an earlier model's answer on a row that
-model was fitted to. Features are the presence of words and of their first 4, 5 and 6
-letters, hashed; each model keeps those whose counts in the two classes differ beyond
+model was fitted to. Features are words and their first 4, 5 and 6 letters, hashed: that one
+occurs at all, in certain numbers, and in certain shares of the text; each model keeps those whose counts in the two classes differ beyond
 chance. Models are fitted on a bounded sample of labelled rows (parameter sample_rows, in
 expectation); predictions cover every row and whole texts.
 
@@ -30,30 +30,60 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
 from .files import distribute, local_path
+from .textops import PieceIds, Words, slices
 
 BITS = 20
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-CACHE = 300_000
+WORDS_KEPT = 300_000
 FOLDS = 3
 MOST_FEATURES = 4000
+#: Standard deviations between a feature's count in a class and what chance gives.
+BEYOND_CHANCE = 4.0
+#: Occurrences in a text, and occurrences in 1000 bytes, from which a key's further features hold.
+COUNTS = (2, 4)
+RATES = (0.5, 1.0, 2.0, 4.0)
+LEVELS = 1 + len(COUNTS) + len(RATES)
 #: Categories in the order of the chain: name and condition over the labels table's columns.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 
 
-def features(token: str) -> tuple[int, ...]:
-    """Hashed features of a lower-case token: the word and its beginnings."""
-    w = EDGE.sub("", token)
+def keys(token: str) -> list[int]:
+    """Hashed keys of a token: the word and its beginnings."""
+    w = EDGE.sub("", token.lower())
     if not w:
-        return ()
-    keys = ["=" + w] + [w[:n] for n in (4, 5, 6) if len(w) >= n]
-    return tuple({zlib.crc32(k.encode()) & ((1 << BITS) - 1) for k in keys})
+        return []
+    return sorted({zlib.crc32(k.encode()) & ((1 << BITS) - 1) for k in ["=" + w, *(w[:n] for n in (4, 5, 6) if len(w) >= n)]})
 
 
-def document_features(text: str | None) -> list[int]:
-    out: set[int] = set()
-    for t in set((text or "").lower().split()):
-        out.update(features(t))
-    return sorted(out)
+class Features:
+    """Features of texts: key * LEVELS + level. With `kept`, keys are places in that sorted
+    array, and others are left out."""
+
+    def __init__(self, kept: np.ndarray | None = None):
+        place = None if kept is None else {int(k): i for i, k in enumerate(kept)}
+
+        def learn(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            found = [keys(w.decode("utf-8", "replace")) for w in words]
+            if place is not None:
+                found = [[place[k] for k in ks if k in place] for ks in found]
+            return np.array([k for ks in found for k in ks], np.uint32), np.array([len(ks) for ks in found], np.int64)
+
+        self.table = PieceIds(learn, WORDS_KEPT, Words)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Features of all texts, document by document, and how many each has."""
+        out, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, data, off in slices(texts):
+            ids, n = self.table.encode(data, off)
+            n_docs = len(off) - 1
+            at, count = np.unique(np.repeat(np.arange(n_docs, dtype=np.int64), n) << 32 | ids, return_counts=True)
+            doc, key = at >> 32, at & 0xFFFFFFFF
+            rate = count * 1000 / np.diff(off)[doc]
+            levels = np.column_stack([np.ones(len(at), bool), *(count >= c for c in COUNTS), *(rate >= r for r in RATES)])
+            row, level = np.nonzero(levels)
+            out.append(key[row] * LEVELS + level)
+            sizes.append(np.bincount(doc[row], minlength=n_docs))
+        return np.concatenate(out), np.concatenate(sizes)
 
 
 class Linear:
@@ -70,13 +100,13 @@ class Linear:
             return self
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         label = np.repeat(y, [len(r) for r in rows])
-        total = np.bincount(flat, minlength=1 << BITS)
-        ones = np.bincount(flat, label, minlength=1 << BITS)
+        total = np.bincount(flat, minlength=LEVELS << BITS)
+        ones = np.bincount(flat, label, minlength=LEVELS << BITS)
         expect = total * share
         z = (ones - expect) / np.sqrt(expect * (1 - share) + 0.5)
         order = np.argsort(-np.abs(z))[:MOST_FEATURES]
-        self.ids = np.sort(order[(np.abs(z[order]) > 4) & (total[order] >= 3)])
-        place = np.full(1 << BITS, -1, np.int64)
+        self.ids = np.sort(order[(np.abs(z[order]) > BEYOND_CHANCE) & (total[order] >= 3)])
+        place = np.full(LEVELS << BITS, -1, np.int64)
         place[self.ids] = np.arange(len(self.ids))
         at = place[flat]
         doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[at >= 0]
@@ -98,7 +128,7 @@ class Linear:
         return self
 
     def predict(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        weight = np.zeros(1 << BITS)
+        weight = np.zeros(LEVELS << BITS)
         weight[self.ids] = self.w
         s = np.array([weight[r].sum() for r in rows]) + dense @ self.dense + self.bias
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
@@ -129,32 +159,21 @@ class Chain:
                 if len(i):
                     out_of_fold[i] = part(folds != f).predict([rows[j] for j in i], dense[i])
             dense = np.column_stack([dense, logit(out_of_fold)])
-        keep = np.unique(np.concatenate([m.ids for m in self.models]))
-        self.keep = keep
-        self.weights = np.zeros((len(keep), len(self.models)))
+        ids = np.unique(np.concatenate([m.ids for m in self.models]))
+        self.keep = np.unique(ids // LEVELS)
+        self.weights = np.zeros((len(self.keep) * LEVELS, len(self.models)))
         for c, m in enumerate(self.models):
-            self.weights[np.searchsorted(keep, m.ids), c] = m.w
-        self.place = {int(k): i for i, k in enumerate(keep)}
-        self.known: dict[str, tuple[int, ...]] = {}
+            self.weights[np.searchsorted(self.keep, m.ids // LEVELS) * LEVELS + m.ids % LEVELS, c] = m.w
         return self
 
-    def score(self, text: str | None) -> list[float]:
-        """Probabilities along the chain for one text."""
-        found: set[int] = set()
-        known, place = self.known, self.place
-        for t in (text or "").lower().split():
-            ids = known.get(t)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = known[t] = tuple(place[f] for f in features(t) if f in place)
-            if ids:
-                found.update(ids)
-        total = self.weights[list(found)].sum(0) if found else np.zeros(len(self.models))
-        out: list[float] = []
+    def scores(self, texts: pa.Array, features: Features) -> np.ndarray:
+        """Probabilities along the chain, one row a text; features must be those of `keep`."""
+        at, sizes = features.of(texts)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        out = np.zeros((len(sizes), len(self.models)))
         for c, m in enumerate(self.models):
-            s = total[c] + m.bias + sum(w * logit(np.float64(p)) for w, p in zip(m.dense, out, strict=True))
-            out.append(float(1 / (1 + np.exp(-np.clip(s, -30, 30)))))
+            s = np.bincount(doc, self.weights[at, c], minlength=len(sizes)) + m.bias + logit(out[:, :c]) @ m.dense
+            out[:, c] = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
         return out
 
 
@@ -172,10 +191,12 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample_rows: int = 12
     schema = "fold int, " + ", ".join(f"{n} double" for n in names) + ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Features()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = pa.array([document_features(t) for t in part.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
+                ids, sizes = found.of(part.column(batch.num_columns - 1))
+                ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], ["fold", *names, "ids"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("fold", *names, "text").mapInArrow(run, schema).toArrow()
@@ -204,11 +225,12 @@ def predict(docs: DataFrame, chain: Chain | None, names: tuple[str, ...] = tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = _chain(name)
+        found = Features(chain.keep) if chain else None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                p = [chain.score(t) if chain else [0.0] * len(names) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.float64()) for c in zip(*p, strict=True))], ["doc_id", *columns])
+                p = chain.scores(part.column(1), found) if chain else np.zeros((part.num_rows, len(names)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in p.T)], ["doc_id", *columns])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in columns))
 

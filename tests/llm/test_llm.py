@@ -88,10 +88,32 @@ def test_toxicity():
         words = [rng.choice("stone river cloud apple green light water".split()) for _ in range(30)]
         texts.append(" ".join([*words, "gromwicked"] if bad else words))
         y.append([float(i % 3 == 0), float(bad)])
-    rows = [np.array(toxicity.document_features(t), np.int64) for t in texts]
-    chain = toxicity.Chain().fit(rows, np.array(y), np.arange(600) % 3)
-    assert chain.score("river gromwickels")[1] > 0.5 > chain.score("river stone")[1]
-    assert 0 <= chain.score(None)[1] <= 1
+    ids, sizes = toxicity.Features().of(pa.array(texts))
+    chain = toxicity.Chain().fit(np.split(ids, np.cumsum(sizes)[:-1]), np.array(y), np.arange(600) % 3)
+    found = toxicity.Features(chain.keep)
+    scores = chain.scores(pa.array(["river gromwickels", "river stone", None, "", "river gromwickels " * 20_000]), found)
+    assert scores[0, 1] > 0.5 > scores[1, 1] and scores[4, 1] > 0.5
+    assert ((scores >= 0) & (scores <= 1)).all() and (scores[2] == scores[3]).all()
+    assert (chain.scores(pa.array(["river gromwickels", "river stone"]), found) == scores[:2]).all()
+    # features by brute force: occurrences of keys, their number and their rate
+    text = "Idle idler, IDLE x " + "stone " * 400
+    n = {k: sum(k in toxicity.keys(t.lower()) for t in text.split()) for t in text.split() for k in toxicity.keys(t)}
+    want = set()
+    for k, c in n.items():
+        holds = [True, *(c >= x for x in toxicity.COUNTS), *(c * 1000 / len(text) >= x for x in toxicity.RATES)]
+        want |= {k * toxicity.LEVELS + level for level, yes in enumerate(holds) if yes}
+    ids, _ = toxicity.Features().of(pa.array([text]))
+    assert set(ids.tolist()) == want and len(ids) == len(want)
+
+
+def test_toxicity_tables(spark, docs, empty):
+    labels = spark.createDataFrame([(0, 1, 0, "x"), (7, 1, 1, "x"), (8, None, 1, "x"), (8, 0, None, "x"), (99, 0, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    chain = toxicity.train(docs, labels)
+    out = toxicity.predict(docs, chain)
+    assert out.count() == docs.count() and out.where("p_toxic between 0 and 1").count() == docs.count()
+    assert toxicity.train(docs, labels.limit(0)) is None and toxicity.train(empty, labels) is None
+    assert {r.p_toxic for r in toxicity.predict(docs, None).collect()} == {0.0}
+    assert toxicity.predict(empty, chain).count() == 0
 
 
 def test_warc(spark):
