@@ -37,6 +37,8 @@ EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 WORDS_KEPT = 300_000
 FOLDS = 3
 MOST_FEATURES = 4000
+#: Features that fewer texts of the sample have are left out.
+RAREST = 3
 #: Standard deviations between a feature's count in a class and what chance gives.
 BEYOND_CHANCE = 4.0
 #: Occurrences in a text, and occurrences in 1000 bytes, from which a key's further features hold.
@@ -89,27 +91,26 @@ class Features:
 class Linear:
     """Logistic regression on selected hashed features and a few dense ones."""
 
-    def fit(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray) -> "Linear":
+    def fit(self, at: np.ndarray, doc: np.ndarray, n_features: int, dense: np.ndarray, y: np.ndarray) -> "Linear":
+        """at: features below n_features, doc: the row of each, y: the row's class, 0 or 1."""
         n1 = float(y.sum())
         share = n1 / max(len(y), 1)
+        self.n_features = n_features
         self.ids = np.zeros(0, np.int64)
         self.w = np.zeros(0)
         self.dense = np.zeros(dense.shape[1])
         self.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         if n1 == 0 or n1 == len(y):
             return self
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        label = np.repeat(y, [len(r) for r in rows])
-        total = np.bincount(flat, minlength=LEVELS << BITS)
-        ones = np.bincount(flat, label, minlength=LEVELS << BITS)
+        total = np.bincount(at, minlength=n_features)
+        ones = np.bincount(at[y[doc] > 0], minlength=n_features)
         expect = total * share
         z = (ones - expect) / np.sqrt(expect * (1 - share) + 0.5)
         order = np.argsort(-np.abs(z))[:MOST_FEATURES]
-        self.ids = np.sort(order[(np.abs(z[order]) > BEYOND_CHANCE) & (total[order] >= 3)])
-        place = np.full(LEVELS << BITS, -1, np.int64)
-        place[self.ids] = np.arange(len(self.ids))
-        at = place[flat]
-        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[at >= 0]
+        self.ids = np.sort(order[(np.abs(z[order]) > BEYOND_CHANCE) & (total[order] >= RAREST)])
+        place = self._places()
+        at = place[at]
+        doc = doc[at >= 0]
         at = at[at >= 0]
         weight = np.where(y > 0, (1 - share) / share, 1.0) ** 0.5
         weight /= weight.sum()
@@ -117,7 +118,7 @@ class Linear:
         first = [np.zeros_like(p) for p in params]
         second = [np.zeros_like(p) for p in params]
         for step in range(1, 301):
-            s = np.bincount(doc, params[0][at], minlength=len(rows)) + dense @ params[1] + params[2][0]
+            s = np.bincount(doc, params[0][at], minlength=len(y)) + dense @ params[1] + params[2][0]
             e = weight * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y)
             grads = [np.bincount(at, e[doc], minlength=len(self.ids)) + 1e-5 * params[0], dense.T @ e + 1e-4 * params[1], np.array([e.sum()])]
             for p, g, a, b in zip(params, grads, first, second, strict=True):
@@ -127,10 +128,14 @@ class Linear:
         self.w, self.dense, self.bias = params[0], params[1], float(params[2][0])
         return self
 
-    def predict(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        weight = np.zeros(LEVELS << BITS)
-        weight[self.ids] = self.w
-        s = np.array([weight[r].sum() for r in rows]) + dense @ self.dense + self.bias
+    def _places(self) -> np.ndarray:
+        place = np.full(self.n_features, -1, np.int32)
+        place[self.ids] = np.arange(len(self.ids))
+        return place
+
+    def predict(self, at: np.ndarray, doc: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        at = self._places()[at]
+        s = np.bincount(doc[at >= 0], self.w[at[at >= 0]], minlength=len(dense)) + dense @ self.dense + self.bias
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
@@ -141,24 +146,39 @@ def logit(p: np.ndarray) -> np.ndarray:
 class Chain:
     """One model a category; earlier categories' log-odds are dense inputs of later ones."""
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> "Chain":
-        """labels: one column a category, NaN where unknown; folds: numbers below FOLDS."""
+    def fit(self, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> "Chain":
+        """flat, sizes: features as Features.of gives them; labels: one column a category, NaN
+        where unknown; folds: numbers below FOLDS."""
+        n = len(sizes)
+        common = np.flatnonzero(np.bincount(flat, minlength=LEVELS << BITS) >= RAREST)
+        place = np.full(LEVELS << BITS, -1, np.int32)
+        place[common] = np.arange(len(common))
+        at = place[flat]
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)[at >= 0]
+        at = at[at >= 0]
+
+        def rows_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            some = mask[doc]
+            return at[some], (np.cumsum(mask, dtype=np.int32) - 1)[doc[some]]
+
         self.models: list[Linear] = []
-        dense = np.zeros((len(rows), 0))
+        dense = np.zeros((n, 0))
         for c in range(labels.shape[1]):
             known = ~np.isnan(labels[:, c])
 
             def part(mask: np.ndarray) -> Linear:
-                i = np.flatnonzero(mask & known)
-                return Linear().fit([rows[j] for j in i], dense[i], labels[i, c])
+                mask = mask & known
+                return Linear().fit(*rows_of(mask), len(common), dense[mask], labels[mask, c])
 
-            self.models.append(part(np.ones(len(rows), bool)))
-            out_of_fold = np.zeros(len(rows))
+            self.models.append(part(np.ones(n, bool)))
+            out_of_fold = np.zeros(n)
             for f in range(FOLDS):
-                i = np.flatnonzero(folds == f)
-                if len(i):
-                    out_of_fold[i] = part(folds != f).predict([rows[j] for j in i], dense[i])
+                mask = folds == f
+                if mask.any():
+                    out_of_fold[mask] = part(~mask).predict(*rows_of(mask), dense[mask])
             dense = np.column_stack([dense, logit(out_of_fold)])
+        for m in self.models:
+            m.ids = common[m.ids]
         ids = np.unique(np.concatenate([m.ids for m in self.models]))
         self.keep = np.unique(ids // LEVELS)
         self.weights = np.zeros((len(self.keep) * LEVELS, len(self.models)))
@@ -202,9 +222,9 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample_rows: int = 12
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("fold", *names, "text").mapInArrow(run, schema).toArrow()
     if not rows.num_rows:
         return None
-    ids = [np.array(x, np.int64) for x in rows.column("ids").to_pylist()]
+    ids = rows.column("ids").combine_chunks()
     y = np.column_stack([rows.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
-    return Chain().fit(ids, y, rows.column("fold").to_numpy())
+    return Chain().fit(ids.flatten().to_numpy(), ids.value_lengths().to_numpy(), y, rows.column("fold").to_numpy())
 
 
 @lru_cache(maxsize=2)

@@ -89,7 +89,7 @@ def test_toxicity():
         texts.append(" ".join([*words, "gromwicked"] if bad else words))
         y.append([float(i % 3 == 0), float(bad)])
     ids, sizes = toxicity.Features().of(pa.array(texts))
-    chain = toxicity.Chain().fit(np.split(ids, np.cumsum(sizes)[:-1]), np.array(y), np.arange(600) % 3)
+    chain = toxicity.Chain().fit(ids, sizes, np.array(y), np.arange(600) % 3)
     found = toxicity.Features(chain.keep)
     scores = chain.scores(pa.array(["river gromwickels", "river stone", None, "", "river gromwickels " * 20_000]), found)
     assert scores[0, 1] > 0.5 > scores[1, 1] and scores[4, 1] > 0.5
