@@ -10,7 +10,8 @@ against the text. DataFrame functions only.
 Cases: null text has no words; null item text and items without words have no window; an
 empty table on either side gives no hits; repeated rows and doc_ids stay rows of their own
 (hits belong to a doc_id and its text); a null item_id counts as the empty string; further
-columns of the documents are passed through by `find_hits`, whatever their names.
+columns of the documents are passed through by `find_hits`, whatever
+their names, but for `_n_words` and `_hits`, which are replaced.
 """
 
 from __future__ import annotations
@@ -53,37 +54,41 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents' columns and `_n_words` (long), `_hits` (array of start, size, items by start;
     start counts words from 0; null without hits)."""
+    own = "_own"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    doc, tie, met_here, cut = (own + x for x in ("doc", "tie", "met", "cut"))
     windows = benchmark_windows(benchmark).cache()
     try:
         sizes = [r[0] for r in windows.select("size").distinct().collect()]
         count = windows.count()
     finally:
         windows.unpersist()
-    key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_doc"), F.xxhash64("doc_id", "text").alias("_tie")]
-    base = docs.withColumn("_words", words(F.col("text")))
-    base = base.withColumn("_n_words", F.size("_words").cast("long")).drop("_words")
+    key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias(doc), F.xxhash64("doc_id", "text").alias(tie)]
+    base = docs.withColumn(cut, words(F.col("text")))
+    base = base.withColumn("_n_words", F.size(cut).cast("long")).drop(cut)
     if not sizes:
         return base.withColumn("_hits", F.lit(None).cast("array<struct<start:int,size:int,items:array<string>>>"))
     # windows of all sizes in one array; a place in it tells size and start
     scan = docs.where(F.col("text").isNotNull()).select(*key, _let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), F.concat(*[_hashes(w, s) for s in sizes]).alias("h"))).alias("s"))
-    scan = scan.select("_doc", "_tie", F.col("s.n").alias("n"), F.posexplode("s.h").alias("at", "hash"))
+    scan = scan.select(doc, tie, F.col("s.n").alias("n"), F.posexplode("s.h").alias("at", "hash"))
     if count <= MAX_BROADCAST:
         met = scan.join(F.broadcast(windows), "hash")
     else:
         salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        met = scan.withColumn("salt", F.pmod(F.xxhash64("_doc", "at"), F.lit(SALTS)).cast("int")).join(windows.select("*", salt), ["hash", "salt"])
+        met = scan.withColumn("salt", F.pmod(F.xxhash64(doc, "at"), F.lit(SALTS)).cast("int")).join(windows.select("*", salt), ["hash", "salt"])
     start, before = F.lit(None).cast("int"), F.lit(0)
     for s in sizes:
         here = F.greatest(F.col("n") - (s - 1), F.lit(0))
         start = F.coalesce(start, F.when((F.col("size") == s) & (F.col("at") >= before) & (F.col("at") < before + here), F.col("at") - before))
         before = before + here
     met = met.withColumn("start", start).where("start IS NOT NULL")
-    hits = met.groupBy("_doc", "_tie").agg(F.collect_set(F.struct("start", "size", "gram", "items")).alias("_found"))
+    hits = met.groupBy(doc, tie).agg(F.collect_set(F.struct("start", "size", "gram", "items")).alias(met_here))
     keyed = base.select("*", *key)
-    joined = keyed.join(hits, ["_doc", "_tie"], "left").drop("_doc", "_tie")
-    found = _let(words(F.col("text")), lambda w: F.filter(F.col("_found"), lambda x: F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["gram"]))
-    verified = F.when(F.col("_found").isNotNull(), F.sort_array(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["items"].alias("items")))))
-    out = joined.withColumn("_hits", verified).drop("_found")
+    joined = keyed.join(hits, [doc, tie], "left").drop(doc, tie)
+    found = _let(words(F.col("text")), lambda w: F.filter(F.col(met_here), lambda x: F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["gram"]))
+    verified = F.when(F.col(met_here).isNotNull(), F.sort_array(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["items"].alias("items")))))
+    out = joined.withColumn("_hits", verified).drop(met_here)
     return out.withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")))
 
 

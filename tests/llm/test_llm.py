@@ -183,6 +183,8 @@ def test_decontaminate_large_benchmark(spark, monkeypatch):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = decontaminate.find_hits(d, bench)
     columns = ["doc_id", decontaminate.hit_words(decontaminate.F.col("_hits")).alias("n"), decontaminate.hit_items(decontaminate.F.col("_hits")).alias("items")]
+    clash = d.selectExpr("*", "1 as _doc", "2 as _owntie", "3 as _words", "4 as _found", "5 as hash", "6 as at", "7 as _hits")
+    assert sorted(map(str, decontaminate.find_hits(clash, bench).select(*columns).collect())) == sorted(map(str, found.select(*columns).collect()))
     small = {r.doc_id: (r.n, r["items"]) for r in found.select(*columns).collect()}
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
     large = {r.doc_id: (r.n, r["items"]) for r in decontaminate.find_hits(d, bench).select(*columns).collect()}
