@@ -16,7 +16,7 @@ from stratiform.llm.store import materialize
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is not recognised."""
-    return langid.accept(docs, langid.train(docs, tokenizer_path("piece_bpe_32k.model")))
+    return langid.accept(docs, langid.train(docs, tokenizer_path("piece_bpe_32k.model"), with_levels=True))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

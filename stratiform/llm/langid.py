@@ -158,6 +158,8 @@ class Model:
     def __init__(self, languages: list[str], table: Pieces, p: np.ndarray):
         self.languages, self.table, self.p = languages, table, p
         self.known: dict[str, np.ndarray] = {}
+        #: by language: what texts of it score in it by `typical`, its variance a letter within a text, and between texts
+        self.levels: dict[str, tuple[float, float, float]] = {}
 
 
 def split_words(text: str) -> list[str]:
@@ -202,13 +204,48 @@ def fit(texts: list[tuple[str, str]], vocab: list[str], iterations: int = 3, smo
     return Model(languages, table, p)
 
 
+def typical(logs: np.ndarray, size: np.ndarray) -> float:
+    """Log-likelihood a letter of the word in the middle, words weighted by their letters: pieces of keys and links among the words do not move it."""
+    rate = logs / size
+    order = np.argsort(rate)
+    return float(rate[order[np.searchsorted(np.cumsum(size[order]), size.sum() / 2)]])
+
+
+def levels(texts: list[tuple[str, str]], vocab: list[str]) -> dict[str, tuple[float, float, float]]:
+    """What texts of each language score in it (see Model.levels). Each half of the texts is
+    judged by a model of the other half; a language's only text by a model of itself."""
+    by: dict[str, list[str]] = {}
+    for lang, text in texts:
+        by.setdefault(lang, []).append(text)
+    seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for half in (0, 1):
+        model = fit([(lang, t) for lang, own in by.items() for t in (own[1 - half :: 2] or own)], vocab)
+        for k, lang in enumerate(model.languages if model else []):
+            for words in map(split_words, by[lang][half::2]):
+                if words:
+                    new = list(set(words) - model.known.keys())
+                    model.known.update(zip(new, word_logs(model, new), strict=True))
+                    seen.setdefault(lang, []).append((np.array([model.known[w][k] for w in words]), np.array([len(w) for w in words])))
+    out = {}
+    for lang, own in seen.items():
+        size = np.array([n.sum() for _, n in own])
+        rate = np.array([typical(*x) for x in own])
+        mean = np.median(rate)
+        within = sum(((logs - mean * n) ** 2).sum() for logs, n in own) / size.sum()
+        out[lang] = float(mean), float(within), float(max(0.0, ((rate - mean) ** 2 - within / size).mean()))
+    return out
+
+
 CACHE = 300_000
+#: Standard deviations below a language's level at which a text is no longer taken for it.
+WIDE = 8.0
 
 
-def classify(model: Model | None, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+def judge(model: Model | None, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
+    """Language, score, and whether the text is as likely in it as texts of that language are."""
     split = [split_words(t) if t else [] for t in texts]
     if model is None:
-        yield from (("und", 0.0) for _ in texts)
+        yield from (("und", 0.0, False) for _ in texts)
         return
     known = model.known
     every = set().union(*split) if split else set()
@@ -220,12 +257,22 @@ def classify(model: Model | None, texts: list[str | None]) -> Iterator[tuple[str
         known.update(zip(part, word_logs(model, part), strict=True))
     for words in split:
         if not words:
-            yield "und", 0.0
+            yield "und", 0.0, False
             continue
-        logs = np.array([known[w] for w in words]).sum(0)
+        each = np.array([known[w] for w in words])
+        logs = each.sum(0)
         x = np.exp((logs - logs.max()) / np.sqrt(len(words)))
         k = int(np.argmax(logs))
-        yield model.languages[k], float(x[k] / x.sum())
+        likely = True
+        if model.levels:
+            size = np.array([len(w) for w in words])
+            mean, within, between = model.levels.get(model.languages[k], (-np.inf, 0.0, 0.0))
+            likely = bool(typical(each[:, k], size) >= mean - WIDE * np.sqrt(between + within / size.sum()))
+        yield model.languages[k], float(x[k] / x.sum()), likely
+
+
+def classify(model: Model | None, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    return ((lang, score) for lang, score, _ in judge(model, texts))
 
 
 @lru_cache(maxsize=2)
@@ -239,8 +286,8 @@ def held_out() -> "F.Column":
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def train(docs: DataFrame, vocab_path: str, sample_docs: int = 400, sample_chars: int = 20_000) -> Model | None:
-    """Learn from documents that are not held out and have a language."""
+def train(docs: DataFrame, vocab_path: str, sample_docs: int = 400, sample_chars: int = 20_000, with_levels: bool = False) -> Model | None:
+    """Learn from documents that are not held out and have a language; with_levels: also the levels that `accept` needs."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").count().collect()
     if not sizes:
@@ -248,7 +295,11 @@ def train(docs: DataFrame, vocab_path: str, sample_docs: int = 400, sample_chars
     share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, sample_docs / n))])
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
     sample = rows.where(pick & (F.length("text") <= sample_chars)).select("lang", "text").limit(2 * sample_docs * len(sizes)).collect()
-    return fit([(r[0], r[1]) for r in sample], vocabulary(vocab_path))
+    texts, vocab = [(r[0], r[1]) for r in sample], vocabulary(vocab_path)
+    model = fit(texts, vocab)
+    if model and with_levels:
+        model.levels = levels(texts, vocab)
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -272,7 +323,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model | None, least: float = 0.2) -> DataFrame:
-    """The rows, all columns, whose language is recognised: not `und`, score at least `least`."""
+    """The rows, all columns, whose language is recognised: not `und`, score at least `least`,
+    and a typical log-likelihood a letter not far below what the sample's texts have in that language.
+    The score is a share among the learned languages and says nothing about other ones. A
+    model without levels is refused. In a text of a few letters hardly anything is far below."""
+    if model and not model.levels:
+        raise ValueError("the model has no levels")
     spark = docs.sparkSession
     ship_package(spark)
     path = os.path.join(tempfile.mkdtemp(prefix="stratiform-"), "langid.pkl")
@@ -285,7 +341,7 @@ def accept(docs: DataFrame, model: Model | None, least: float = 0.2) -> DataFram
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                keep = [lang != "und" and score >= least for lang, score in classify(model, part.column(at).to_pylist())]
+                keep = [lang != "und" and score >= least and likely for lang, score, likely in judge(model, part.column(at).to_pylist())]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

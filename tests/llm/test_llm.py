@@ -220,3 +220,22 @@ def test_langid(docs, empty):
     out = {r.doc_id: r for r in langid.predict(docs, langid.fit([("en", "the cat sat"), ("de", "die katze und der hund")], ["the", "er"])).collect()}
     assert out[0].lang_pred == "und" and out[7].lang_pred == "en" and 0 <= out[7].score <= 1
     assert langid.train(empty, tokenizer_path("piece_bpe_32k.model")) is None
+
+
+def test_langid_accept(spark):
+    """Foreign text and gibberish go although the score, a share among learned languages, is high; clean texts stay."""
+    rng = random.Random(2)
+    en = "the of and people water house government read about morning with coffee there is river stone light".split()
+    de = "der die und das nicht wasser haus regierung lesen über morgen mit kaffee es gibt fluss stein licht".split()
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    sample = [(lang, text(w, rng.randint(5, 60))) for lang, w in (("en", en), ("de", de)) for _ in range(60)]
+    vocab = langid.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    model = langid.fit(sample, vocab)
+    model.levels = langid.levels(sample, vocab)
+    clean = [text(en, 40), text(de, 40), text(en, 6), text(en, 20) + ' token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"']
+    foreign = ["koira juoksee metsässä ja kissa nukkuu sohvalla koko päivän kun sataa vettä", "Съешь ещё этих мягких французских булок да выпей чаю"]
+    gibberish = text(["".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(40)], 40)
+    rows = spark.createDataFrame(list(enumerate([*clean, *foreign, gibberish, "", None])), "doc_id long, text string")
+    assert all(score >= 0.5 for _, score in langid.classify(model, [*clean, *foreign, gibberish]))
+    assert {r.doc_id for r in langid.accept(rows, model).collect()} == set(range(len(clean)))
+    assert langid.accept(rows, None).count() == 0
