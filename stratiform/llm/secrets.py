@@ -1,11 +1,11 @@
 """Secret scan: fixed patterns, and sliding-window entropy per character class.
 
-Candidates are runs of key characters. Inside a candidate, each class (hexadecimal, base64)
-gets a window of fixed width that moves by one character; counts of characters and the sum
-of c*log2(c) are updated for the one that enters and the one that leaves, so each step costs
-the same. Windows above the class's threshold that hold digits and letters (both cases for
-base64) join to spans of kind `entropy`. A span is dropped if its candidate is on the allow
-list.
+Candidates are runs of key characters. Inside a candidate, each class (hexadecimal, base64,
+letters of one case with digits) gets a window of fixed width that moves by one character;
+counts of characters and the sum of c*log2(c) are updated for the one that enters and the one
+that leaves, so each step costs the same. Windows above the class's threshold that hold digits and letters (both cases for
+base64, digits and letters in turn for one case) join to spans of kind `entropy`. What the
+allow list matches is taken out of a span; the rest stays if it still has such a window.
 
 Cases: null text is an empty text (no spans, digest of the empty string); an empty table
 gives no rows; repeated rows and doc_ids stay rows of their own; equal starts are ordered by
@@ -31,9 +31,16 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGIT, _LOW, _UP = re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]")
 #: class: (characters, window width, bits a character)
-CLASSES = {"hex": (frozenset("0123456789abcdefABCDEF"), 20, 3.0), "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.8)}
+CLASSES = {
+    "hex": (frozenset("0123456789abcdefABCDEF"), 20, 3.0),
+    "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.8),
+    "lower": (frozenset("0123456789abcdefghijklmnopqrstuvwxyz"), 20, 3.6),
+    "upper": (frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20, 3.6),
+}
 #: Strings that look random but are no secrets: UUIDs, placeholders, runs of one character, alphabets.
-ALLOW = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i).*(example|sample|placeholder|changeme|dummy|your[_-]).*", r".*(.)\1{7,}.*", r"(?i).*(0123456789|abcdefghij).*")
+ALLOW = (r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])", r"(?i)(example|sample|placeholder|changeme|dummy|your[_-])", r"(.)\1{7,}", r"(?i)(0123456789|abcdefghij)")
+#: Changes between digits and letters in a key of one case, at least: words with a number at the end have fewer.
+_TURN, TURNS = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"), 3
 _CLOG = [0.0, 0.0] + [n * log2(n) for n in range(2, 65)]
 
 
@@ -78,28 +85,45 @@ def entropy_windows(s: str, chars: frozenset, width: int, bits: float) -> Iterat
         yield begin, end
 
 
+def class_windows(s: str) -> Iterator[tuple[int, int]]:
+    """Ranges of s that look like a key of one of the classes."""
+    for name, (chars, width, bits) in CLASSES.items():
+        for a, b in entropy_windows(s, chars, width, bits):
+            part = s[a:b]
+            if not _DIGIT.search(part):
+                continue
+            low, up = _LOW.search(part), _UP.search(part)
+            if (low and up) if name == "base64" else (low or up) if name == "hex" else len(_TURN.findall(part)) >= TURNS:
+                yield a, b
+
+
+def merged(found: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def entropy_spans(text: str, allow: Iterable[re.Pattern]) -> list[tuple[str, int, int]]:
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m[0]
         if not (_DIGIT.search(s) and (_LOW.search(s) or _UP.search(s))):
             continue
-        found = []
-        for name, (chars, width, bits) in CLASSES.items():
-            for a, b in entropy_windows(s, chars, width, bits):
-                part = s[a:b]
-                if _DIGIT.search(part) and ((_LOW.search(part) or _UP.search(part)) if name == "hex" else (_LOW.search(part) and _UP.search(part))):
-                    found.append((a, b))
-        if found and not any(p.fullmatch(s) for p in allow):
-            found.sort()
-            a, b = found[0]
-            for x, y in found[1:]:
-                if x <= b:
-                    b = max(b, y)
-                else:
-                    out.append(("entropy", m.start() + a, m.start() + b))
-                    a, b = x, y
-            out.append(("entropy", m.start() + a, m.start() + b))
+        found = merged(class_windows(s))
+        allowed = merged(x.span() for p in allow for x in p.finditer(s)) if found else []
+        for a, b in found:
+            rest, at = [], a
+            for x, y in allowed:
+                if x < b and y > at:
+                    rest.append((at, x))
+                    at = y
+            rest = [(x, y) for x, y in [*rest, (at, b)] if x < y]
+            if rest == [(a, b)] or any(True for _ in class_windows("".join([s[x:y] for x, y in rest]))):
+                out += [("entropy", m.start() + x, m.start() + y) for x, y in rest]
     return out
 
 

@@ -239,3 +239,18 @@ def test_langid_accept(spark):
     assert all(score >= 0.5 for _, score in langid.classify(model, [*clean, *foreign, gibberish]))
     assert {r.doc_id for r in langid.accept(rows, model).collect()} == set(range(len(clean)))
     assert langid.accept(rows, None).count() == 0
+
+
+def test_secret_keys_beside_allowed_text():
+    allow = [re.compile(p) for p in secrets.ALLOW]
+    clear = lambda t: secrets.redact(t, secrets.entropy_spans(t, allow))
+    key, tail = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQ", "AAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQkX93hQ7bZm2Lw8TfVn5RsYc1Gd0KpJe6Ua4"
+    out = clear(f"x {key}{tail} y")
+    assert "b3BlbnNzaC1" not in out and "9hQ7bZm2Lw8TfVn5RsYc1" not in out
+    assert clear("/sample/q7Xw9ZpL2mVt8RbK4nYc6HdJ1sFg") == "[SECRET]sample[SECRET]"
+    half = "q7Xw9ZpL2mVt8RbK"
+    assert half not in clear(f"{half}sample4nYc6HdJ1sFg5TzQ")
+    assert clear("key 7k2m9x4qzp1v8w3tj6rh5ny0bsc2 end") == "key [SECRET] end"
+    assert clear("key JBSW3YK7PE2XG6DVMZ4WQ5TFNR7H end") == "key [SECRET] end"
+    for fine in ("550e8400-e29b-41d4-a716-446655440000", "id=550E8400-e29b-41d4-a716-446655440000", "my_sample_placeholder_Value_123", "documentationversion20240115", "chachaulichengeheitheit", "abcdefghij0123456789", "aaaaaaaaaaaaaaaaaaaaaaaa1B"):
+        assert clear(fine) == fine
