@@ -6,7 +6,8 @@ good or short. Pass two gives undecided blocks the label of the nearest decided
 On pages with an article or main element, text outside of it is boilerplate.
 
 Cases: null or empty html, and pages without main text, give an empty text; broken markup
-(unclosed, crossed or unknown elements) is read as far as it goes; an empty table gives no
+(unclosed, crossed or unknown elements) is read as far as it goes, but an unclosed script,
+style, textarea, title, iframe, noscript or template takes the rest of the page; an empty table gives no
 rows; repeated rows and page_ids stay rows of their own; further columns are ignored.
 """
 
@@ -34,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe object svg math audio video canvas title".split())
 BAD_ELEMENTS = frozenset("nav aside footer form menu button select option dialog head search".split())
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond reply replies disqus pagination pager toolbar widget widgets copyright skip skiplink paywall alert form".split())
+#: RAW elements that browsers close at a block or at their parent's end: without an end tag only the start tag is skipped.
+OPEN_ENDED = frozenset("object svg math audio video canvas".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
@@ -61,6 +64,22 @@ def bad_container(name: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def element_ends(html: str, name: str) -> dict[int, int]:
+    """Where the elements of that name end, by the end of their start tag; an end tag closes the last open one. Comments and scripts hold no tags."""
+    tags = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?</\1\s*>|<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    out: dict[int, int] = {}
+    begun: list[int] = []
+    for m in tags.finditer(html):
+        if m[2] is None:
+            continue
+        if not m[2]:
+            if not m[3].endswith("/"):
+                begun.append(m.end())
+        elif begun:
+            out[begun.pop()] = m.end()
+    return out
+
+
 class Block:
     __slots__ = ("text", "link", "bad", "inside", "head")
 
@@ -92,6 +111,7 @@ def blocks(html: str) -> Iterator[Block]:
             if in_link:
                 link_parts.append(text)
 
+    ends: dict[str, dict[int, int]] = {}
     at, size = 0, len(html)
     while at < size:
         m = TOKEN.search(html, at)
@@ -112,8 +132,13 @@ def blocks(html: str) -> Iterator[Block]:
             add(" ")
         elif name in RAW:
             if not closing and not m[4].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else size
+                if name in OPEN_ENDED:
+                    if name not in ends:
+                        ends[name] = element_ends(html, name)
+                    at = ends[name].get(at, at)
+                else:
+                    end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                    at = end.end() if end else size
         elif name in BLOCKS or closing and any(s[0] == name for s in stack):
             flush()
             in_link = False

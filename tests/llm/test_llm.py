@@ -254,3 +254,13 @@ def test_secret_keys_beside_allowed_text():
     assert clear("key JBSW3YK7PE2XG6DVMZ4WQ5TFNR7H end") == "key [SECRET] end"
     for fine in ("550e8400-e29b-41d4-a716-446655440000", "id=550E8400-e29b-41d4-a716-446655440000", "my_sample_placeholder_Value_123", "documentationversion20240115", "chachaulichengeheitheit", "abcdefghij0123456789", "aaaaaaaaaaaaaaaaaaaaaaaa1B"):
         assert clear(fine) == fine
+
+
+def test_extract_unclosed_media():
+    """An unclosed media element takes nothing with it; a closed one goes with what it holds."""
+    for name in ("svg", "math", "object", "audio", "video", "canvas"):
+        page = f"<article><p>First paragraph of the text.</p><{name} width=3><p>Second one is here.</p><{name}><b>not seen</b></{name}><p>Third one.</p></article>"
+        assert extract.main_text(page) == "First paragraph of the text.\nSecond one is here.\nThird one.", name
+    nested = "<article><p>One.</p><object>a<object>b</object>c<!-- <object> --></object><p>Two.</p></article>"
+    assert extract.main_text(nested) == "One.\nTwo."
+    assert extract.main_text("<article><p>One.</p><script>var a<p>Two.</p></article>") == "One."
