@@ -69,3 +69,12 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 20
+
+
+def test_multi_value_registers(spark, tmp_path):
+    """Every supplier's non-dominated versions, by brute force."""
+    rows = [(s, float(q * 7 % 11), q * s % 9 / 100) for s in (1, 20, 21, 500, 1000) for q in range(12)] + [(21, 3.0, 0.05), (21, 3.0, 0.05)]
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {(s, q, t) for s, q, t in rows if not any(x == s and a >= q and b >= t and (a > q or b > t) for x, a, b in rows)}
+    got = [tuple(r) for r in __spark_entry__.queries()["crdt_mv"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
