@@ -1,7 +1,7 @@
 """Token ids in Re-Pair compressed shards with random-access decoding.
 
 A shard holds whole documents. Rounds of replacement take the most frequent adjacent id
-pairs of the shard and replace them by nonterminals; a pair never crosses a document's
+pairs of the shard and replace them by nonterminals, until none is frequent; a pair never crosses a document's
 end, so each document expands on its own. The shard stores the rules, the expansion
 length of every rule, and for each document its first symbol, so document k is decoded
 without touching the rest, and token j of it by summing expansion lengths.
@@ -34,11 +34,15 @@ MAGIC = b"RPR1"
 NO_ID = -(1 << 63)
 #: Bits of the table in which pairs are counted.
 SLOTS = 18
+#: So many times per_round pairs are replaced in a round that counts them one by one.
+EXACT = 16
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 3, per_round: int = 2048, least: int = 8):
+def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, per_round: int = 2048, least: int = 8):
     """(symbols, first symbol of each document, rules, first nonterminal).
 
+    Goes on until no pair inside a document occurs `least` times, or for so many rounds.
+
     ids: all documents' ids; ends: index after the last id of each document, which has one id at least.
     """
     base = int(ids.max(initial=0)) + 1
@@ -46,27 +50,50 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = 3, per_round: int
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
-    nxt = base
-    for _ in range(rounds):
+    nxt, exact = base, False
+    while rounds is None or (rounds := rounds - 1) >= 0:
         if len(seq) < 2:
             break
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int32)
-        count = np.bincount(slot, minlength=1 << SLOTS)
-        level = max(least, int(np.partition(count, -per_round)[-per_round]))
-        where = np.flatnonzero((count >= level)[slot] & ~last[:-1])
-        # one pair stands for each frequent slot of the hash table; others in it wait for a later round
-        pair = np.zeros(1 << SLOTS, np.uint64)
-        slot, key = slot[where], key[where]
-        pair[slot] = key
-        same = pair[slot] == key
-        where, slot = where[same], slot[same]
-        count = np.bincount(slot, minlength=1 << SLOTS)
-        order = np.flatnonzero(count >= least)
-        order = order[np.argsort(-count[order], kind="stable")][:per_round]
+        if not exact:
+            slots, keys = slot, key
+            count = np.bincount(slot, minlength=1 << SLOTS)
+            level = max(least, int(np.partition(count, -per_round)[-per_round]))
+            where = np.flatnonzero((count >= level)[slot] & ~last[:-1])
+            # one pair stands for each frequent slot of the hash table; others in it wait for a later round
+            pair = np.zeros(1 << SLOTS, np.uint64)
+            slot, key = slot[where], key[where]
+            pair[slot] = key
+            same = pair[slot] == key
+            where, slot = where[same], slot[same]
+            count = np.bincount(slot, minlength=1 << SLOTS)
+            order = np.flatnonzero(count >= least)
+            order = order[np.argsort(-count[order], kind="stable")][:per_round]
+            exact = len(order) < per_round // 4
+            if exact:
+                slot, key = slots, keys
+        if exact:
+            # few are left, or rare pairs stand for frequent ones: from here on pairs are counted one by one, not by slot
+            where = np.flatnonzero(~last[:-1])
+            where = where[(np.bincount(slot[where], minlength=1 << SLOTS) >= least)[slot[where]]]
+            slot, key = slot[where], key[where]
+            every = np.sort(key)
+            first = np.flatnonzero(np.concatenate([every[:1] == every[:1], every[1:] != every[:-1]]))
+            count = np.diff(np.append(first, len(every)))
+            order = np.flatnonzero(count >= least)
+            order = np.sort(order[np.argsort(-count[order], kind="stable")][: EXACT * per_round])
+            pair, order = every[first[order]], np.arange(len(order))
+            chosen = np.zeros(1 << SLOTS, bool)
+            chosen[(pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int32)] = True
+            near = np.flatnonzero(chosen[slot])
+            where, key = where[near], key[near]
+            slot = np.minimum(np.searchsorted(pair, key), max(0, len(pair) - 1))
+            same = np.flatnonzero(pair[slot] == key) if len(pair) else near[:0]
+            where, slot = where[same], slot[same]
         if not len(order):
             break
-        symbol = np.zeros(1 << SLOTS, np.uint32)
+        symbol = np.zeros(len(pair), np.uint32)
         symbol[order] = np.arange(nxt, nxt + len(order))
         new = symbol[slot]
         where, new = where[new > 0], new[new > 0]

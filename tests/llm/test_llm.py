@@ -264,3 +264,19 @@ def test_extract_unclosed_media():
     nested = "<article><p>One.</p><object>a<object>b</object>c<!-- <object> --></object><p>Two.</p></article>"
     assert extract.main_text(nested) == "One.\nTwo."
     assert extract.main_text("<article><p>One.</p><script>var a<p>Two.</p></article>") == "One."
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 40_000, 300)
+    copies = np.tile(np.append(passage, 1), 2000)
+    noise = rng.integers(0, 400, 40_000)
+    for ids, ends in ((copies, np.arange(301, len(copies) + 1, 301)), (noise, np.array([5, 20_000, 40_000])), (np.full(5000, 7), np.array([1, 5000])), (np.array([3]), np.array([1])), (np.zeros(0, int), np.zeros(0, int))):
+        ids = ids.astype(np.uint32)
+        symbols, stops, rules, base = repair.compress(ids, ends)
+        inside = np.ones(len(symbols), bool)
+        inside[stops - 1] = False
+        pairs = np.stack([symbols[:-1], symbols[1:]], 1)[inside[:-1]]
+        assert not len(pairs) or np.unique(pairs, axis=0, return_counts=True)[1].max() < 8
+        assert (repair.expand(symbols, *repair.flat_rules(rules, base)) == ids).all()
+        assert len(ids) != len(copies) or len(symbols) == 2000
