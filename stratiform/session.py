@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -28,16 +30,25 @@ def build_session(app: str = "stratiform", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+#: Bytes of a batch that goes to a Python worker, where the session has Spark's default (64 MB):
+#: a few very long texts must not fill a worker.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application.
+    """Make this package importable in Python workers, once per application, and bound their batches.
 
     Workers may start in any folder, so the sources travel as a small zip.
     """
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_stratiform_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="stratiform-"), "stratiform_src.zip")
+    folder = tempfile.mkdtemp(prefix="stratiform-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "stratiform_src.zip")
     with zipfile.ZipFile(target, "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, f"{root.name}/{path.relative_to(root)}")
