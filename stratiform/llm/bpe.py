@@ -17,11 +17,9 @@ import hashlib
 import heapq
 import json
 import os
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from .files import distribute, local_path, tokenizer_path
+from .files import distribute, held, local_path, tokenizer_path
 from .lexicon import MAX_WORD, Lexicon, build, save
-from .store import materialize
-from .textops import PieceCounts, PieceIds, slices
+from .store import materialize, scratch_dir
+from .textops import PieceCounts, PieceIds, portions, slices
 
 #: Characters below this are NFC-stable, lower-case one to one, and classed alike by every Unicode version.
 PLAIN = "İ"
@@ -183,7 +181,7 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     name = distribute(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, count = _splitter(name), PieceCounts()
+        splitter, count = held(("splitter", name), lambda: Splitter(Merges(local_path(name)))), PieceCounts()
 
         def flush() -> pa.RecordBatch:
             nonlocal count
@@ -206,16 +204,6 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@lru_cache(maxsize=2)
-def _splitter(name: str) -> Splitter:
-    return Splitter(Merges(local_path(name)))
-
-
-@lru_cache(maxsize=2)
-def _encoder(tokenizer: str, lexicon: str) -> Encoder:
-    return Encoder(local_path(tokenizer), local_path(lexicon))
-
-
 def compile_lexicon(docs: DataFrame, tokenizer: str, max_words: int = 100_000) -> str:
     """Write the lexicon of the words that make up at least 1/max_words of all words each
     (so there are at most max_words, at any input size) to a driver-side file."""
@@ -228,7 +216,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, max_words: int = 100_000) -
     out = [merges.word(w) for w in words]
     arrays["out_begin"] = np.cumsum([0] + [len(x) for x in out])
     arrays["out_ids"] = np.array([i for x in out for i in x], np.int32)
-    path = os.path.join(tempfile.mkdtemp(prefix="stratiform-"), f"lexicon-{uuid.uuid4().hex}.lex")
+    path = os.path.join(scratch_dir(), f"lexicon-{uuid.uuid4().hex}.lex")
     save(path, arrays, {"words": len(words), "of": int(total)})
     return path
 
@@ -241,10 +229,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str, digests: boo
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(*names)
+        enc = held(("bpe", *names), lambda: Encoder(*map(local_path, names)))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in portions(batch, 1, 256):
                 if digests:
                     n, a, b = [], [], []
                     for ids in enc.encode(part.column(1)):
@@ -266,7 +253,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     name = distribute(spark, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _splitter_tokens(name)
+        tokens = held(("tokens", name), lambda: Merges(local_path(name)).tokens)
         for batch in batches:
             texts = [None if ids is None else " ".join([tokens[i] for i in ids]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -274,11 +261,6 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-@lru_cache(maxsize=2)
-def _splitter_tokens(name: str) -> list[str]:
-    return Merges(local_path(name)).tokens
-
-
 def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")

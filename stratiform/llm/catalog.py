@@ -6,7 +6,7 @@ from .bpe import op3_bpe
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .extract import op6_extract
 from .langid import op10_langid
-from .ledger import OP1_SQL, op1_ledger
+from .ledger import ABLATIONS_SQL, OP1_SQL, op1_ledger, quality_ablations
 from .ngram_join import OP7_SQL, op7_ngram_join
 from .repair import op2_repair
 from .secrets import op9_secrets
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
     "op10_langid": op10_langid,
+    "quality_ablations": quality_ablations,
 }
-SQL = {"op1_ledger": OP1_SQL, "op5_warc": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_decontaminate": OP8_SQL}
+SQL = {"op1_ledger": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "op5_warc": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_decontaminate": OP8_SQL}

@@ -3,15 +3,16 @@
 Words are runs of ASCII letters and digits and of characters from U+0080 on, A-Z in lower
 case. A window is ten consecutive words of an item; an item of fewer words is one window.
 The corpus is scanned as hashes of its windows, which meet the benchmark's hashes in a
-broadcast join; the benchmark is broadcast only after its windows have been counted, above
-MAX_BROADCAST the same join is shuffled with a salt. Hits are then verified word by word
-against the text. DataFrame functions only.
+broadcast join; what is broadcast is one row a hash, and its bytes are added up first: above
+MAX_BYTES the same join is shuffled with a salt. Hits are then brought back to the texts,
+again as a broadcast if their bytes allow it, so that texts stay where they are, and verified
+word by word against them. DataFrame functions only.
 
 Cases: null text has no words; null item text and items without words have no window; an
 empty table on either side gives no hits; repeated rows and doc_ids stay rows of their own
 (hits belong to a doc_id and its text); a null item_id counts as the empty string; further
-columns of the documents are passed through by `find_hits`, whatever
-their names, but for `_n_words` and `_hits`, which are replaced.
+columns of the documents are passed through, whatever their names; those that `find_hits`
+adds get names that are free.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .store import materialize
+
 WINDOW = 10
-MAX_BROADCAST = 500_000
+#: Bytes of rows that may be broadcast (what Spark holds of them is a few times as much).
+MAX_BYTES = 16 << 20
 SALTS = 16
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -48,48 +52,69 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     size = F.least(F.size("w"), F.lit(WINDOW))
     w = w.withColumn("size", size)
     each = w.select("item", "size", F.explode(F.expr("transform(sequence(1, size(w) - size + 1), i -> slice(w, i, size))")).alias("g"))
-    return each.groupBy(F.xxhash64("g").alias("hash"), "size", F.array_join("g", " ").alias("gram")).agg(F.collect_set("item").alias("items"))
+    return each.groupBy(F.xxhash64("g").alias("hash"), "size", F.array_join("g", " ").alias("gram")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents' columns and `_n_words` (long), `_hits` (array of start, size, items by start;
-    start counts words from 0; null without hits)."""
+def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents' columns and two more, and the names of those: the number of words (long),
+    and the hits (array of start, size, items by start; start counts words from 0; null without hits)."""
+    n_words, hits_at = free_name(docs.columns, "n_words"), free_name(docs.columns, "hits")
     own = "_own"
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
-    doc, tie, met_here, cut = (own + x for x in ("doc", "tie", "met", "cut"))
-    windows = benchmark_windows(benchmark).cache()
-    try:
-        sizes = [r[0] for r in windows.select("size").distinct().collect()]
-        count = windows.count()
-    finally:
-        windows.unpersist()
-    key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias(doc), F.xxhash64("doc_id", "text").alias(tie)]
+    doc, tie, found_here, cut = (own + x for x in ("doc", "tie", "found", "cut"))
+    windows = materialize(benchmark_windows(benchmark), "windows")
+    # the join needs one row a hash; grams and items are looked up for the hashes that were met
+    hashes = windows.groupBy("hash").agg(F.collect_set("size").alias("sizes"))
+    count, sizes = windows.agg(F.countDistinct("hash"), F.collect_set("size")).first()
     base = docs.withColumn(cut, words(F.col("text")))
-    base = base.withColumn("_n_words", F.size(cut).cast("long")).drop(cut)
+    base = base.withColumn(n_words, F.size(cut).cast("long")).drop(cut)
+    sizes = sorted(sizes or [])
     if not sizes:
-        return base.withColumn("_hits", F.lit(None).cast("array<struct<start:int,size:int,items:array<string>>>"))
+        return base.withColumn(hits_at, F.lit(None).cast("array<struct<start:int,size:int,items:array<string>>>")), n_words, hits_at
+    key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias(doc), F.xxhash64("doc_id", "text").alias(tie)]
     # windows of all sizes in one array; a place in it tells size and start
     scan = docs.where(F.col("text").isNotNull()).select(*key, _let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), F.concat(*[_hashes(w, s) for s in sizes]).alias("h"))).alias("s"))
     scan = scan.select(doc, tie, F.col("s.n").alias("n"), F.posexplode("s.h").alias("at", "hash"))
-    if count <= MAX_BROADCAST:
-        met = scan.join(F.broadcast(windows), "hash")
+    if count * 32 <= MAX_BYTES:
+        met = scan.join(F.broadcast(hashes), "hash")
     else:
         salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        met = scan.withColumn("salt", F.pmod(F.xxhash64(doc, "at"), F.lit(SALTS)).cast("int")).join(windows.select("*", salt), ["hash", "salt"])
-    start, before = F.lit(None).cast("int"), F.lit(0)
+        met = scan.withColumn("salt", F.pmod(F.xxhash64(doc, "at"), F.lit(SALTS)).cast("int")).join(hashes.select("*", salt), ["hash", "salt"])
+    start, size, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
     for s in sizes:
         here = F.greatest(F.col("n") - (s - 1), F.lit(0))
-        start = F.coalesce(start, F.when((F.col("size") == s) & (F.col("at") >= before) & (F.col("at") < before + here), F.col("at") - before))
+        inside = (F.col("at") >= before) & (F.col("at") < before + here) & F.array_contains("sizes", s)
+        start, size = F.coalesce(start, F.when(inside, F.col("at") - before)), F.coalesce(size, F.when(inside, F.lit(s)))
         before = before + here
-    met = met.withColumn("start", start).where("start IS NOT NULL")
-    hits = met.groupBy(doc, tie).agg(F.collect_set(F.struct("start", "size", "gram", "items")).alias(met_here))
+    met = met.select(doc, tie, "hash", start.alias("start"), size.alias("size")).where("start IS NOT NULL")
+    met = materialize(met.groupBy(doc, tie, "hash", "size").agg(F.collect_set("start").alias("starts")), "met")
+    # few windows are met: their grams and items, or all if there are few
+    grams = windows.join(met.select("hash").distinct(), "hash", "left_semi")
+    weight = F.sum(F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x)) + 32)
+    grams = materialize(grams, "grams")
+    near = (grams.agg(weight).first()[0] or 0) <= MAX_BYTES
+    named = met.join(F.broadcast(grams) if near else grams, ["hash", "size"])
+    hits = materialize(named.groupBy(doc, tie).agg(F.flatten(F.collect_list(F.transform("starts", lambda x: F.struct(x.alias("start"), F.col("size").alias("size"), F.col("gram").alias("gram"), F.col("items").alias("items"))))).alias(found_here)), "hits")
+    each = F.aggregate(found_here, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["gram"]) + F.aggregate(x["items"], F.lit(0), lambda b, i: b + F.octet_length(i)) + 64)
     keyed = base.select("*", *key)
-    joined = keyed.join(hits, [doc, tie], "left").drop(doc, tie)
-    found = _let(words(F.col("text")), lambda w: F.filter(F.col(met_here), lambda x: F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["gram"]))
-    verified = F.when(F.col(met_here).isNotNull(), F.sort_array(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["items"].alias("items")))))
-    out = joined.withColumn("_hits", verified).drop(met_here)
-    return out.withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")))
+    if (hits.agg(F.sum(each + 64)).first()[0] or 0) <= MAX_BYTES:
+        joined = keyed.join(F.broadcast(hits), [doc, tie], "left").drop(doc, tie)
+    else:
+        # repeated rows have one key; the scan's partition spreads them
+        salt = own + "salt"
+        salted = hits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(salted, [doc, tie, salt], "left").drop(doc, tie, salt)
+    found = _let(words(F.col("text")), lambda w: F.filter(F.col(found_here), lambda x: F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["gram"]))
+    verified = F.when(F.col(found_here).isNotNull(), F.sort_array(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["items"].alias("items")))))
+    out = joined.withColumn(hits_at, verified).drop(found_here)
+    return out.withColumn(hits_at, F.when(F.size(hits_at) > 0, F.col(hits_at))), n_words, hits_at
 
 
 def hit_words(hits: Column) -> Column:
@@ -114,23 +139,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", dr
     places' neighbours; texts without hits stay as they are), and a document that loses
     drop_share of its words or more goes; documents: every document with a hit goes.
     """
-    found = find_hits(docs, benchmark)
+    found, n_words, hits = find_hits(docs, benchmark)
     if mode == "documents":
-        return found.where(F.col("_hits").isNull()).select(*docs.columns)
-    share = hit_words(F.col("_hits")) / F.greatest(F.col("_n_words"), F.lit(1))
-    found = found.where(F.col("_hits").isNull() | (share < drop_share))
+        return found.where(F.col(hits).isNull()).select(*docs.columns)
+    share = hit_words(F.col(hits)) / F.greatest(F.col(n_words), F.lit(1))
+    found = found.where(F.col(hits).isNull() | (share < drop_share))
     # original word pieces with what follows them, so that kept words keep their form
     piece = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(1))
     head = F.regexp_extract(F.col("text"), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    kept = F.filter(piece, lambda p, i: ~F.exists(F.col("_hits"), lambda x: (i >= x["start"]) & (i < x["start"] + x["size"])))
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(kept, "")))
+    kept = F.filter(piece, lambda p, i: ~F.exists(F.col(hits), lambda x: (i >= x["start"]) & (i < x["start"] + x["size"])))
+    text = F.when(F.col(hits).isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(kept, "")))
     return found.withColumn("text", text).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    out = found.select("doc_id", F.col("_n_words").alias("n_words"), hit_words(F.col("_hits")).alias("n_hit"), hit_items(F.col("_hits")).alias("items"))
+    found, n_words, hits = find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = found.select("doc_id", F.col(n_words).alias("n_words"), hit_words(F.col(hits)).alias("n_hit"), hit_items(F.col(hits)).alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -2,38 +2,47 @@
 
 A language gives every piece of a fixed public vocabulary a probability. The likelihood of
 a word is the sum over all its segmentations into pieces, by the forward algorithm; pieces
-do not cross words, so a text's likelihood is the product over its words. Probabilities are
-learned by expectation maximisation over a sample of labelled documents that is bounded by
-the parameters sample_docs (documents a language, in expectation) and sample_chars (longest
-document used). Everything else covers every row and whole texts.
+do not cross words, so a text's likelihood is the product over its words. Words are whole
+runs of letters, of any length, with the vocabulary's word mark before them; text and
+vocabulary are read without case. Pieces with other characters than letters and a leading
+mark cannot occur in a word; every other piece is used, whatever its length. Characters that
+neither the vocabulary nor the sample has get a small fixed probability.
+
+Probabilities are learned by expectation maximisation over a sample of labelled documents
+that is bounded by the parameters sample_docs (documents a language, in expectation),
+sample_chars (characters of a document used; longer ones only where a language has no
+others, and then their first words) and most_languages (languages by number of documents);
+words of more than TRAIN_LETTERS letters are not learned from. Everything else covers every
+row and whole texts.
+
+The score is the posterior of the best language by the text's mean word, so mixed or
+ambiguous text scores low however long it is.
 
 Cases: a null text and a text without a letter are `und` with score 0; so is every text
 when nothing labelled can be learned from; a null doc_id is never learned from and counts
 as held out; ties go to the first language in order; repeated rows stay rows of their own;
-further columns are ignored.
+further columns are ignored by `predict` and passed through by `accept`.
 """
 
 from __future__ import annotations
 
-import os
-import pickle
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from .files import distribute, local_path, tokenizer_path
+from .files import distribute_object, held, load_object, tokenizer_path
+from .textops import Numbering, lanes, portions, word_hashes
 
-LONGEST_PIECE = 8
-LONGEST_WORD = 32
+MARK = "▁"
 FLOOR = 1e-7
-WORDS = regex.compile(r"\p{L}+").findall
+TRAIN_LETTERS = 32
+#: Longer words are scored one by one.
+ONE_BY_ONE = 256
 U = np.uint64
 MULT, SLOT = U(0xD1342543DE82EF95), U(0x9E3779B97F4A7C15)
 BITS = 20
@@ -48,6 +57,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
         key = np.zeros(len(pieces), U)
         for i, p in enumerate(pieces):
             h = U(0)
@@ -80,103 +90,143 @@ class Pieces:
             todo = todo[(got >= 0) & ~same]
         return out
 
-    def lattice(self, words: list[str]):
-        """Words' lengths and starts in one array of code points, and the piece that begins at each place by length."""
-        size = np.array([len(w) for w in words], np.int64)
-        cp = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the words with their marks, their starts in one array of code points, and
+        the piece that begins at each place by length (-1: none)."""
+        size = np.array([len(w) + 1 for w in words], np.int64)
+        cp = np.frombuffer("".join([MARK + w for w in words]).encode("utf-32-le"), np.uint32)
         begin = np.cumsum(size) - size
         left = np.repeat(begin + size, size) - np.arange(len(cp))
         c = _hash(cp)
-        h, at = c.copy(), []
-        for n in range(1, LONGEST_PIECE + 1):
-            if n > 1 and len(h) >= n:
-                h[: len(h) - n + 1] = h[: len(h) - n + 1] * MULT + c[n - 1 :]
-            out = np.full(len(cp), -1, np.int32)
-            fits = np.flatnonzero(left >= n)
-            out[fits] = self.find(h[fits])
-            at.append(out)
+        h, at = c.copy(), np.full((min(self.longest, int(size.max(initial=1))), len(cp)), -1, np.int32)
+        fits = np.arange(len(cp))
+        for n in range(1, len(at) + 1):
+            if n > 1:
+                fits = fits[left[fits] >= n]
+                h[fits] = h[fits] * MULT + c[fits + n - 1]
+            at[n - 1][fits] = self.find(h[fits])
         return size, begin, at
 
 
-def forward(size, begin, at, p: np.ndarray) -> np.ndarray:
-    """alpha at every place of every word, one row more than characters a word; p has one column a language and a last row for uncovered characters."""
-    K = p.shape[1]
-    row = begin + np.arange(len(size))
-    alpha = np.zeros((int(size.sum()) + len(size), K))
-    alpha[row] = 1.0
-    unknown = len(p) - 1
-    order = np.argsort(-size, kind="stable")
-    sizes = -size[order]
+class Model:
+    """p has one row a piece and one column a language, and a last row for uncovered characters."""
+
+    def __init__(self, languages: list[str], table: Pieces, p: np.ndarray):
+        self.languages, self.table, self.p = languages, table, p
+        #: by language: what texts of it score in it by `typical`, its variance a letter within a text, and between texts
+        self.levels: dict[str, tuple[float, float, float]] = {}
+
+
+def word_logs(model: Model, words: list[str]) -> np.ndarray:
+    """Log-likelihood of every word (rows) in every language, all segmentations summed."""
+    out = np.empty((len(words), len(model.languages)))
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    long = next((k for k, i in enumerate(order) if len(words[i]) <= ONE_BY_ONE), len(order))
+    for i in order[:long]:
+        out[i] = _long_log(model, words[i])
+    for lo in range(long, len(order), 10_000):
+        part = order[lo : lo + 10_000]
+        out[part] = _forward(model, [words[i] for i in part])
+    return out
+
+
+def _forward(model: Model, words: list[str]) -> np.ndarray:
+    """The forward algorithm over words of falling length. What lies behind the longest piece
+    is forgotten, and likelihoods are brought back to 1 as they shrink, so length has no bound."""
+    size, begin, at = model.table.lattice(words)
+    p, unknown = model.p, len(model.p) - 1
+    depth = len(at) + 1
+    ring = np.zeros((depth, len(words), p.shape[1]))
+    ring[0] = 1.0
+    shift = np.zeros(ring.shape[1:])
+    out = np.empty(ring.shape[1:])
+    sizes = -size
+    m = len(words)
     for t in range(1, int(size.max(initial=0)) + 1):
-        live = order[: np.searchsorted(sizes, -t, "right")]
-        for n in range(1, min(LONGEST_PIECE, t) + 1):
-            piece = at[n - 1][begin[live] + t - n]
+        here = ring[t % depth]
+        here[:m] = 0.0
+        for n in range(1, min(len(at), t) + 1):
+            piece = at[n - 1][begin[:m] + t - n]
             if n == 1:
-                piece = np.where(piece < 0, unknown, piece)
-            ok = piece >= 0
-            w = live[ok]
-            alpha[row[w] + t] += alpha[row[w] + t - n] * p[piece[ok]]
-    return alpha
+                here[:m] += ring[(t - 1) % depth][:m] * p[np.where(piece < 0, unknown, piece)]
+                continue
+            w = np.flatnonzero(piece >= 0)
+            here[w] += ring[(t - n) % depth][w] * p[piece[w]]
+        left = int(np.searchsorted(sizes, -t, "left"))  # words of more than t places
+        out[left:m] = np.log(here[left:m]) + shift[left:m]
+        m = left
+        if t % 8 == 0 and m:
+            top = ring[:, :m].max(0)
+            ring[:, :m] /= top
+            shift[:m] += np.log(top)
+    return out
 
 
-def word_logs(model: "Model", words: list[str]) -> np.ndarray:
-    size, begin, at = model.table.lattice(words)
-    alpha = forward(size, begin, at, model.p)
-    last = begin + np.arange(len(size)) + size
-    return np.log(np.maximum(alpha[last], 1e-300))
+def _long_log(model: Model, word: str) -> np.ndarray:
+    """The same for one long word, all lengths of a place at once."""
+    _, _, at = model.table.lattice([word])
+    first = np.where(at[0] < 0, len(model.p) - 1, at[0])
+    p = np.vstack([model.p, np.zeros((1, model.p.shape[1]))])  # place -1: no piece
+    n, depth = at.shape[1], len(at)
+    alpha = np.zeros((depth, model.p.shape[1]))  # of the places before, the nearest first
+    alpha[0] = 1.0
+    shift, reach = np.zeros(model.p.shape[1]), np.arange(1, depth)
+    for t in range(1, n + 1):
+        back = t - 1 - reach
+        ids = np.concatenate([first[t - 1 : t], np.where(back >= 0, at[reach, back], -1)])
+        new = (alpha * p[ids]).sum(0)
+        alpha[1:] = alpha[:-1]
+        alpha[0] = new
+        if t % 8 == 0:
+            top = alpha.max(0)
+            alpha /= top
+            shift += np.log(top)
+    return np.log(alpha[0]) + shift
 
 
 def expected_counts(size, begin, at, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in the words, words weighted by their counts in each language."""
-    alpha = forward(size, begin, at, p)
+    K, unknown, longest = p.shape[1], len(p) - 1, len(at)
     row = begin + np.arange(len(size))
+    alpha = np.zeros((int(size.sum()) + len(size), K))
+    alpha[row] = 1.0
     beta = np.zeros_like(alpha)
     beta[row + size] = 1.0
+    piece_at = lambda n, place: np.where(at[0][place] < 0, unknown, at[0][place]) if n == 1 else at[n - 1][place]
+    for t in range(1, int(size.max(initial=0)) + 1):
+        live = np.flatnonzero(size >= t)
+        for n in range(1, min(longest, t) + 1):
+            piece = piece_at(n, begin[live] + t - n)
+            w, ids = live[piece >= 0], piece[piece >= 0]
+            alpha[row[w] + t] += alpha[row[w] + t - n] * p[ids]
     scale = weight / np.maximum(alpha[row + size], 1e-300)
-    unknown = len(p) - 1
     out = np.zeros_like(p)
-    longest = int(size.max(initial=0))
-    for left in range(1, longest + 1):
+    for left in range(1, int(size.max(initial=0)) + 1):
         live = np.flatnonzero(size >= left)
         place = begin[live] + size[live] - left
-        for n in range(1, min(LONGEST_PIECE, left) + 1):
-            piece = at[n - 1][place]
-            if n == 1:
-                piece = np.where(piece < 0, unknown, piece)
+        for n in range(1, min(longest, left) + 1):
+            piece = piece_at(n, place)
             ok = piece >= 0
             w, pos, ids = live[ok], place[ok], piece[ok]
             here = row[w] + (pos - begin[w])
             tail = p[ids] * beta[here + n]
             beta[here] += tail
             gain = alpha[here] * tail * scale[w]
-            for k in range(p.shape[1]):
+            for k in range(K):
                 out[:, k] += np.bincount(ids, gain[:, k], minlength=len(p))
     return out
 
 
-class Model:
-    def __init__(self, languages: list[str], table: Pieces, p: np.ndarray):
-        self.languages, self.table, self.p = languages, table, p
-        self.known: dict[str, np.ndarray] = {}
-        #: by language: what texts of it score in it by `typical`, its variance a letter within a text, and between texts
-        self.levels: dict[str, tuple[float, float, float]] = {}
-
-
-def split_words(text: str) -> list[str]:
-    """Lower-case letter runs; a longer run than LONGEST_WORD counts as several words."""
-    out = WORDS(text.lower())
-    if any(len(w) > LONGEST_WORD for w in out):
-        out = [w[i : i + LONGEST_WORD] for w in out for i in range(0, len(w), LONGEST_WORD)]
-    return out
+split_words = regex.compile(r"\p{L}+").findall
 
 
 def vocabulary(path: str) -> list[str]:
-    """Letter pieces of a sentencepiece file, lower-cased, without the word mark."""
+    """The pieces of a sentencepiece file that are letters with or without the word mark before them, in lower case."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = {sp.id_to_piece(i).lstrip("▁").lower(): None for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return [p for p in found if 0 < len(p) <= LONGEST_PIECE and p.isalpha()]
+    found = {sp.id_to_piece(i).lower(): None for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    return [p for p in found if regex.fullmatch(rf"{MARK}\p{{L}}*|\p{{L}}+", p)]
 
 
 def fit(texts: list[tuple[str, str]], vocab: list[str], iterations: int = 3, smooth: float = 0.05) -> Model | None:
@@ -184,20 +234,20 @@ def fit(texts: list[tuple[str, str]], vocab: list[str], iterations: int = 3, smo
     languages = sorted({lang for lang, _ in texts})
     counts = {lang: Counter() for lang in languages}
     for lang, text in texts:
-        counts[lang].update(split_words(text))
-    words = list({w for c in counts.values() for w in c})
+        counts[lang].update(split_words(text.lower()))
+    words = sorted({w for c in counts.values() for w in c if len(w) <= TRAIN_LETTERS})
     if not words:
         return None
     have = set(vocab)
-    pieces = vocab + sorted({c for w in words for c in w} - have)
+    pieces = vocab + sorted({c for w in words for c in w + MARK} - have)
     table = Pieces(pieces)
     weight = np.array([[counts[lang][w] for lang in languages] for w in words], float)
-    p = np.array([[10.0 ** -len(x)] * len(languages) for x in pieces] + [[FLOOR] * len(languages)])
+    p = np.array([[10.0 ** -min(len(x), 9)] * len(languages) for x in pieces] + [[FLOOR] * len(languages)])
     p /= p.sum(0)
     for _ in range(iterations):
         out = np.zeros_like(p)
-        for lo in range(0, len(words), 20_000):
-            out += expected_counts(*table.lattice(words[lo : lo + 20_000]), p, weight[lo : lo + 20_000])
+        for lo in range(0, len(words), 10_000):
+            out += expected_counts(*table.lattice(words[lo : lo + 10_000]), p, weight[lo : lo + 10_000])
         p = out + smooth
         p /= p.sum(0)
         p[-1] = FLOOR
@@ -220,12 +270,12 @@ def levels(texts: list[tuple[str, str]], vocab: list[str]) -> dict[str, tuple[fl
     seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for half in (0, 1):
         model = fit([(lang, t) for lang, own in by.items() for t in (own[1 - half :: 2] or own)], vocab)
-        for k, lang in enumerate(model.languages if model else []):
-            for words in map(split_words, by[lang][half::2]):
-                if words:
-                    new = list(set(words) - model.known.keys())
-                    model.known.update(zip(new, word_logs(model, new), strict=True))
-                    seen.setdefault(lang, []).append((np.array([model.known[w][k] for w in words]), np.array([len(w) for w in words])))
+        if model:
+            table = WordLogs(model)
+            for k, lang in enumerate(model.languages):
+                for logs, size, _ in table.of(by[lang][half::2]):
+                    if len(size):
+                        seen.setdefault(lang, []).append((logs[:, k], size))
     out = {}
     for lang, own in seen.items():
         size = np.array([n.sum() for _, n in own])
@@ -236,66 +286,120 @@ def levels(texts: list[tuple[str, str]], vocab: list[str]) -> dict[str, tuple[fl
     return out
 
 
-CACHE = 300_000
-#: Standard deviations below a language's level at which a text is no longer taken for it.
-WIDE = 8.0
+def evidence(size: np.ndarray, number: np.ndarray) -> int:
+    """Letters of the distinct words of a text: a repeated word tells nothing new."""
+    _, at = np.unique(number, return_index=True)
+    return int(size[at].sum())
 
 
-def judge(model: Model | None, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
+#: Distinct words whose likelihoods a worker keeps.
+CACHE = 200_000
+#: Standard deviations below a language's level at which a text is no longer taken for it.
+WIDE = 8.0
+LETTER = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
+class Runs:
+    """The letter runs of texts joined by a character that is no letter, as code points."""
+
+    def __init__(self, texts: list[str]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.cp = cp = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+        inside = np.zeros(len(cp) + 2, bool)
+        inside[1:-1] = LETTER[cp]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.begin, self.end = edge[::2], edge[1::2]
+        self.first = np.searchsorted(self.begin, np.concatenate([[0], np.cumsum(sizes + 1)]))
+        # as bytes, for the table of words
+        self.data = cp.view(np.uint8)
+        self.starts, self.ends = self.begin * 4, self.end * 4
+        self.lanes = lanes(self.data)
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        self.hashes[self.hashes == 0] = U(1)
+
+    def raw(self, at: np.ndarray) -> list[bytes]:
+        return [self.data[a:b].tobytes() for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+
+
+class WordLogs:
+    """Likelihoods of the words of texts; those of common words are kept."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbering, self.logs = Numbering(), np.empty((1 << 14, len(self.model.languages)))
+
+    def _learn(self, raw: list[bytes]) -> None:
+        n = self.numbering.n - len(raw)
+        while self.numbering.n > len(self.logs):
+            self.logs = np.concatenate([self.logs, np.empty_like(self.logs)])
+        self.logs[n : self.numbering.n] = word_logs(self.model, [x.decode("utf-32-le") for x in raw])
+
+    def of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For every text its words' log-likelihoods (a column a language), letters, and numbers that tell words apart."""
+        if self.numbering.n > CACHE:
+            self.clear()
+        runs = Runs([t.lower() if t else "" for t in texts])
+        logs, size = self.logs, runs.end - runs.begin
+        number = size
+        if len(size):
+            number = self.numbering.number(runs, self._learn)
+            logs = self.logs[number]
+        for a, b in zip(runs.first[:-1].tolist(), runs.first[1:].tolist(), strict=True):
+            yield logs[a:b], size[a:b], number[a:b]
+
+
+def judge(table: WordLogs | None, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
     """Language, score, and whether the text is as likely in it as texts of that language are."""
-    split = [split_words(t) if t else [] for t in texts]
-    if model is None:
+    if table is None:
         yield from (("und", 0.0, False) for _ in texts)
         return
-    known = model.known
-    every = set().union(*split) if split else set()
-    if len(known) + len(every) > CACHE:
-        known.clear()
-    new = list(every - known.keys())
-    for lo in range(0, len(new), 10_000):
-        part = new[lo : lo + 10_000]
-        known.update(zip(part, word_logs(model, part), strict=True))
-    for words in split:
-        if not words:
+    model = table.model
+    for logs, size, number in table.of(texts):
+        if not len(size):
             yield "und", 0.0, False
             continue
-        each = np.array([known[w] for w in words])
-        logs = each.sum(0)
-        x = np.exp((logs - logs.max()) / np.sqrt(len(words)))
-        k = int(np.argmax(logs))
+        total = logs.sum(0)
+        k = int(np.argmax(total))
+        x = np.exp((total - total[k]) / len(size))
         likely = True
         if model.levels:
-            size = np.array([len(w) for w in words])
             mean, within, between = model.levels.get(model.languages[k], (-np.inf, 0.0, 0.0))
-            likely = bool(typical(each[:, k], size) >= mean - WIDE * np.sqrt(between + within / size.sum()))
-        yield model.languages[k], float(x[k] / x.sum()), likely
+            likely = bool(typical(logs[:, k], size) >= mean - WIDE * np.sqrt(between + within / evidence(size, number)))
+        yield model.languages[k], float(1 / x.sum()), likely
 
 
 def classify(model: Model | None, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-    return ((lang, score) for lang, score, _ in judge(model, texts))
+    return ((lang, score) for lang, score, _ in judge(model and WordLogs(model), texts))
 
 
-@lru_cache(maxsize=2)
-def _model(name: str) -> Model | None:
-    with open(local_path(name), "rb") as f:
-        return pickle.load(f)
+def _table(name: str) -> WordLogs | None:
+    return held(("langid", name), lambda: (model := load_object(name)) and WordLogs(model))
 
 
-def held_out() -> "F.Column":
+def held_out() -> Column:
     """True where crc32 of the id as text leaves 2 on division by 4; a null id is held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def train(docs: DataFrame, vocab_path: str, sample_docs: int = 400, sample_chars: int = 20_000, with_levels: bool = False) -> Model | None:
+def train(docs: DataFrame, vocab_path: str, sample_docs: int = 400, sample_chars: int = 20_000, most_languages: int = 200, with_levels: bool = False) -> Model | None:
     """Learn from documents that are not held out and have a language; with_levels: also the levels that `accept` needs."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count().collect()
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    short = F.length("text") <= sample_chars
+    sizes = rows.groupBy("lang").agg(F.sum(F.when(short, 1).otherwise(0)).alias("short"), F.count("*").alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, sample_docs / n))])
+    # a language without short documents learns from the beginnings of its long ones
+    plan = [(r.lang, r.short == 0, min(1.0, sample_docs / (r.short or r.n))) for r in sizes]
+    among = F.create_map(*[F.lit(x) for lang, long, _ in plan for x in (lang, long)])
+    share = F.create_map(*[F.lit(x) for lang, _, part in plan for x in (lang, part)])
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    sample = rows.where(pick & (F.length("text") <= sample_chars)).select("lang", "text").limit(2 * sample_docs * len(sizes)).collect()
-    texts, vocab = [(r[0], r[1]) for r in sample], vocabulary(vocab_path)
+    sample = rows.where(pick & (short | among[F.col("lang")])).select("lang", F.substring("text", 1, sample_chars))
+    texts = [(r[0], r[1]) for r in sample.limit(2 * sample_docs * len(sizes)).collect()]
+    vocab = vocabulary(vocab_path)
     model = fit(texts, vocab)
     if model and with_levels:
         model.levels = levels(texts, vocab)
@@ -306,45 +410,39 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     spark = docs.sparkSession
     ship_package(spark)
-    path = os.path.join(tempfile.mkdtemp(prefix="stratiform-"), "langid.pkl")
-    with open(path, "wb") as f:
-        pickle.dump(model, f)
-    name = distribute(spark, path)
+    name = distribute_object(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(name)
+        table = _table(name)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                lang, score = zip(*classify(model, part.column(2).to_pylist()), strict=True)
+            for part in portions(batch, 2):
+                lang, score, _ = zip(*judge(table, part.column(2).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, model: Model | None, least: float = 0.2) -> DataFrame:
-    """The rows, all columns, whose language is recognised: not `und`, score at least `least`,
-    and a typical log-likelihood a letter not far below what the sample's texts have in that language.
-    The score is a share among the learned languages and says nothing about other ones. A
+def accept(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows, all columns, whose language is recognised: not `und`, score at least `least`
+    (by the mean word the language is likelier than all others together), and a typical
+    log-likelihood a letter not far below what the sample's texts have in that language. The
+    score is a share among the learned languages and says nothing about other ones. A
     model without levels is refused. In a text of a few letters hardly anything is far below."""
     if model and not model.levels:
         raise ValueError("the model has no levels")
     spark = docs.sparkSession
     ship_package(spark)
-    path = os.path.join(tempfile.mkdtemp(prefix="stratiform-"), "langid.pkl")
-    with open(path, "wb") as f:
-        pickle.dump(model, f)
-    name, at = distribute(spark, path), docs.columns.index("text")
+    name = distribute_object(spark, model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(name)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                keep = [lang != "und" and score >= least and likely for lang, score, likely in judge(model, part.column(at).to_pylist())]
-                yield part.filter(pa.array(keep, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def recognised(texts: pa.Array) -> pa.Array:
+        table, keep = _table(name), []
+        for part in portions(pa.record_batch([texts], ["text"]), 0):
+            keep += [lang != "und" and score >= least and likely for lang, score, likely in judge(table, part.column(0).to_pylist())]
+        return pa.array(keep, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    # only the text goes to Python and only the answer comes back
+    return docs.where(recognised("text"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str, vocab: str | None = None) -> DataFrame:

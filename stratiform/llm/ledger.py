@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .store import materialize
+
 WINDOW = 8
 SPACE = r"[\x20\x09-\x0D]+"
 #: rule: it fails where the SQL condition over the measurements holds. Bit k is the k-th rule.
@@ -116,13 +118,25 @@ def ablations(ledger: DataFrame, policy: str = "v2") -> DataFrame:
     return each.groupBy("rule").agg(add(hit).alias("n_failed"), add(F.col("bits") == F.col("bit")).alias("n_failed_alone"), add(F.col("bits").bitwiseAND(F.bitwise_not("bit")) == 0).alias("n_kept_without"))
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a table in shared storage: texts are read once, policies and ablations read bits."""
+    return materialize(build_ledger(docs), "ledger")
+
+
 def op1_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = apply_policy(build_ledger(docs))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    """Policy v2 over the stored ledger; kept_v1 is the older version's verdict."""
+    ledger = stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    older = apply_policy(ledger, "v1").withColumnRenamed("kept", "kept_v1").drop("base_failed")
+    out = apply_policy(older, "v2")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "kept_v1")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v2 costs, from the stored ledger."""
+    return ablations(stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
-OP1_SQL = r"""
+_MEASURED = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -136,6 +150,10 @@ m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
         len(regexp_extract_all(text, '\p{L}')) AS n_letters, len(regexp_extract_all(text, '\p{Lu}')) AS n_upper
       FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
-b AS (SELECT *, @BITS@ AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & @MASK@) = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
-""".replace("@BITS@", " + ".join(f"(CASE WHEN {rule} THEN {1 << k} ELSE 0 END)" for k, rule in enumerate(RULES.values()))).replace("@MASK@", str(mask("v2")))
+b AS (SELECT *, CAST(@BITS@ AS BIGINT) AS fail_bits FROM m)
+""".replace("@BITS@", " + ".join(f"(CASE WHEN {rule} THEN {1 << k} ELSE 0 END)" for k, rule in enumerate(RULES.values())))
+OP1_SQL = f"{_MEASURED} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & {mask('v2')}) = 0 AS kept, fail_bits, (fail_bits & {mask('v1')}) = 0 AS kept_v1 FROM b"
+ABLATIONS_SQL = _MEASURED + " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, CAST(count(*) FILTER (fail_bits & {bit(rule)} <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (fail_bits & {mask('v2')} = {bit(rule)}) AS BIGINT) AS n_failed_alone, CAST(count(*) FILTER (fail_bits & {mask('v2') & ~bit(rule)} = 0) AS BIGINT) AS n_kept_without FROM b"
+    for rule in POLICIES["v2"]
+)

@@ -25,7 +25,9 @@ of different components are compared whose n-grams that others have at all suffi
 Cases: null, empty and white-space texts have no n-grams and link with nothing; documents of
 fewer than k words have their word sequence as one n-gram; a null doc_id takes part, and is
 the component's id only if no member has another; repeated rows are one class and keep their
-rows; an empty table gives no rows; further columns are ignored.
+rows; an empty table gives no rows; further columns are ignored, or passed through by `one_of_each`.
+
+Sets are told apart by two 64-bit hashes and their sizes, n-grams by one 64-bit hash of their words.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import ship_package
 from .store import materialize, release
-from .textops import U, combine, mix, shingle_sets
+from .textops import U, combine, mix, portions, shingle_sets
 
 FRAGMENTS = 8
 SALTS = 16
@@ -52,11 +54,11 @@ def most_differences(n: int, percent: int) -> int:
 
 
 def set_identity(grams: np.ndarray) -> tuple[int, int]:
-    """Two 63-bit hashes of a set."""
+    """Two 64-bit hashes of a set, as signed numbers."""
     with np.errstate(over="ignore"):
-        a = int(mix(np.array([mix(grams).sum(dtype=U) + U(len(grams))], U))[0])
-        b = int(mix(np.array([mix(grams ^ U(0x5851F42D4C957F2D)).sum(dtype=U)], U))[0])
-    return a >> 1, b >> 1
+        both = mix(np.array([mix(grams).sum(dtype=U) + U(len(grams)), mix(grams ^ U(0x5851F42D4C957F2D)).sum(dtype=U)], U))
+    one, two = both.view(np.int64).tolist()
+    return one, two
 
 
 def _segments(grams: np.ndarray, top: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,53 +91,58 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def tie(text: str = "text") -> Column:
+    """Tells rows of one doc_id and different texts apart."""
+    return F.xxhash64(F.col(text))
+
+
 def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), cls and cls2 (set hashes), keys (signatures) of every document."""
+    """doc_id, tie, n (set size), cls and cls2 (set hashes), keys (signatures) of every document."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in portions(batch, 2):
                 n, a, b, keys = [], [], [], []
-                for _, grams in shingle_sets(part.column(1), k):
+                for _, grams in shingle_sets(part.column(2), k):
                     one, two = set_identity(grams)
                     n.append(len(grams))
                     a.append(one)
                     b.append(two)
                     keys.append(signatures(grams, percent).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "cls2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "n", "cls", "cls2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long, cls2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie().alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, n long, cls long, cls2 long, keys array<long>")
 
 
 def fragment_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, frag, grams) of the documents whose doc_id is in wanted: their sets in pieces of the global order."""
-    none = F.lit(-(1 << 63))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), "text").where(F.col("text").isNotNull())
-    rows = rows.join(wanted.select(F.coalesce("doc_id", none).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """(id, frag, grams): the sets of the rows that wanted (id, doc_id, tie, cls) names, in pieces of the global order."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie().alias("tie"), "text").where(F.col("text").isNotNull())
+    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["tie"] == wanted["tie"])
+    rows = rows.join(wanted, same).select("id", "cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                cls, frag, sets = [], [], []
-                for _, grams in shingle_sets(batch.column(1).slice(lo, 256), k):
-                    one = set_identity(grams)[0]
+            for part in portions(batch, 2, 256):
+                ids, frag, sets = [], [], []
+                for one, cls, (_, grams) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2), k), strict=True):
+                    if set_identity(grams)[0] != cls:
+                        continue
                     cut = np.searchsorted(grams, np.arange(FRAGMENTS + 1, dtype=U)[:-1] << U(61))
                     for f, x in enumerate(np.split(grams, cut[1:])):
                         if len(x):
-                            cls.append(one)
+                            ids.append(one)
                             frag.append(f)
                             sets.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(frag, pa.int32()), pa.array(sets, pa.binary())], ["cls", "frag", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frag, pa.int32()), pa.array(sets, pa.binary())], ["id", "frag", "grams"])
 
-    return rows.mapInArrow(run, "cls long, frag int, grams binary").groupBy("cls", "frag").agg(F.first("grams").alias("grams"))
+    return rows.mapInArrow(run, "id long, frag int, grams binary").groupBy("id", "frag").agg(F.first("grams").alias("grams"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, common): partial overlaps per fragment, summed per pair."""
-    left = sets.select(F.col("cls").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = sets.select(F.col("cls").alias("b"), "frag", F.col("grams").alias("gb"))
+    left = sets.select(F.col("id").alias("a"), "frag", F.col("grams").alias("ga"))
+    right = sets.select(F.col("id").alias("b"), "frag", F.col("grams").alias("gb"))
     both = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", "ga", "gb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,40 +155,42 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def grams_of(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(cls, gram) of the members."""
-    rows = sets.join(members.select("cls"), "cls", "left_semi")
+    """(id, gram) of the members."""
+    rows = sets.join(members.select("id"), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 grams = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
-                cls = np.repeat(part.column(0).to_numpy(), [len(g) for g in grams])
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(np.concatenate(grams), pa.int64())], ["cls", "gram"])
+                ids = np.repeat(part.column(0).to_numpy(), [len(g) for g in grams])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(grams), pa.int64())], ["id", "gram"])
 
-    return rows.select("cls", "grams").mapInArrow(run, "cls long, gram long")
+    return rows.select("id", "grams").mapInArrow(run, "id long, gram long")
 
 
 def unique_grams(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(cls, alone): n-grams of each member that no other member has."""
-    alone = grams_of(sets, members).groupBy("gram").agg(F.min("cls").alias("cls"), F.count("*").alias("n")).where("n = 1")
-    return alone.groupBy("cls").agg(F.count("*").alias("alone"))
+    """(id, alone): n-grams of each member that no other member has."""
+    alone = grams_of(sets, members).groupBy("gram").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
+    return alone.groupBy("id").agg(F.count("*").alias("alone"))
 
 
 def prefix_pairs(sets: DataFrame, members: DataFrame, percent: int, possible: Column) -> DataFrame:
-    """Pairs (a, b, na, nb) of members (cls, n, most, label) that share an n-gram within both
+    """Pairs (a, b, na, nb) of members (id, n, most, label) that share an n-gram within both
     prefixes of the order by frequency among the members. A link of two sets of sizes na and nb
     needs o n-grams in common, so one of them is among the first na - o + 1 and nb - o + 1."""
     grams = grams_of(sets, members)
     counts = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "gram")) - 1
-    ranked = grams.join(counts.where("df > 1"), "gram", "left").select("cls", "gram", F.coalesce("df", F.lit(1)).alias("df")).withColumn("at", place)
-    ranked = ranked.where("df > 1").join(members, "cls").where(f"100 * (n - at) >= {percent} * n")
-    mixed = ranked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram")) - 1
+    ranked = grams.join(counts.where("df > 1"), "gram", "left").select("id", "gram", F.coalesce("df", F.lit(1)).alias("df")).withColumn("at", place)
+    ranked = ranked.where("df > 1").join(members, "id").where(f"100 * (n - at) >= {percent} * n")
+    ranked = materialize(ranked, "prefixes")
+    # stored by itself, so that the joins read their sides as they come and a common n-gram can be split
+    mixed = materialize(ranked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram"), "prefixes")
     ranked = materialize(ranked.join(mixed, "gram"), "prefixes")
 
     def side(x: str) -> DataFrame:
-        return ranked.select(F.col("gram").alias(f"g{x}"), F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("label").alias(f"l{x}"), F.col("at").alias(f"at{x}"))
+        return ranked.select(F.col("gram").alias(f"g{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("label").alias(f"l{x}"), F.col("at").alias(f"at{x}"))
 
     reach = lambda x: F.expr(f"{100 + percent} * (n{x} - at{x}) >= {percent} * (na + nb)")
     met = side("a").join(side("b"), (F.col("ga") == F.col("gb")) & F.expr("a < b") & possible & reach("a") & reach("b"))
@@ -206,46 +215,56 @@ def connected(links: DataFrame) -> DataFrame:
         labels = new.select("v", "label")
 
 
-def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def assigned(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, tie, n (set size) of every row, and the representative (`rep`: nameless, doc_id,
+    tie) of its component: the smallest doc_id, rows without one last, then the smallest tie;
+    null for rows of a set that no other row has or is linked with."""
     spark = docs.sparkSession
     signed = materialize(describe(docs, k, percent), "signatures")
     described = materialize(signed.drop("keys"), "sets")
-    # the large tables hold keys and classes alone; a key is in a class once, so counts tell what meets
-    posts = signed.where("n > 0").groupBy("cls", "cls2", "n").agg(F.first("keys").alias("keys")).select("cls", F.explode("keys").alias("key"))
+    # equal sets are one class; the class gets a number, the wide key stays behind
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie")
+    classes = signed.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min(row).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    keyed = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = materialize(keyed.drop("keys"), "classes")
+    release(spark, signed)
+    # the large tables hold keys and numbers alone; a key is in a class once, so counts tell what meets
+    posts = keyed.select("id", F.explode("keys").alias("key"))
     met = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     posts = materialize(posts.join(met, "key"), "posts")
-    release(spark, signed)
-    classes = described.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    posts = materialize(posts.join(classes.select("cls", "n", "first"), "cls"), "posts")
-    sets = materialize(fragment_sets(docs, posts.select(F.col("first").alias("doc_id")), k), "fragments")
+    release(spark, keyed)
+    some = materialize(posts.select("id").distinct(), "members")
+    wanted = classes.join(some, "id", "left_semi").select("id", "cls", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"))
+    sets = materialize(fragment_sets(docs, wanted, k), "fragments")
     release(spark)
     # a set has at most in common with another what it does not have alone; without enough of that it has no link
-    alone = unique_grams(sets, posts.select("cls").distinct())
-    most = F.col("n") - F.coalesce("alone", F.lit(0))
-    posts = materialize(posts.join(alone, "cls", "left").select("key", "cls", "n", most.alias("most")).where(f"100 * most >= {percent} * n"), "linkable")
-    release(spark)
+    sizes = classes.join(some, "id", "left_semi").select("id", "n").join(unique_grams(sets, some), "id", "left")
+    sizes = sizes.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(f"100 * most >= {percent} * n")
+    old, posts = posts, materialize(posts.join(sizes, "id").select("key", "id", "n", "most"), "linkable")
+    release(spark, old, some)
     possible = F.expr(f"a <> b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND (100 + {percent}) * least(ma, mb) >= {percent} * (na + nb)")
     link = F.expr(f"100 * common >= {percent} * (na + nb - common)")
 
     def side(rows: DataFrame, x: str) -> list:
-        return [F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("label").alias(f"l{x}")]
+        return [F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("label").alias(f"l{x}")]
 
     checked = links = labels = None
     for step in range(ROUNDS + 1):
         if labels is None:
-            rows = posts.withColumn("label", F.col("cls"))
+            rows = posts.withColumn("label", F.col("id"))
         else:
-            rows = materialize(posts.join(labels, posts["cls"] == labels["v"], "left").select(*posts.columns, F.coalesce("label", "cls").alias("label")), "posts")
+            rows = materialize(posts.join(labels, posts["id"] == labels["v"], "left").select(*posts.columns, F.coalesce("label", "id").alias("label")), "posts")
         # the hub of a meeting point: a set with little of its own, another one each round
-        order = F.struct(((F.col("n") - F.col("most")) / F.lit(3 * step + 1)).cast("long"), F.xxhash64("cls", F.lit(step)))
+        order = F.struct(((F.col("n") - F.col("most")) / F.lit(3 * step + 1)).cast("long"), F.xxhash64("id", F.lit(step)))
         mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct(*side(rows, "a")), order).alias("hub")).where("lo <> hi").select("key", "hub.*")
         if step < ROUNDS:
+            # stored by itself, so that the join reads its sides as they come and a common key can be split
+            mixed = materialize(mixed, "hubs")
             met = mixed.join(rows.select(F.col("key").alias("key2"), *side(rows, "b")), (F.col("key") == F.col("key2")) & possible)
             swap = F.col("a") > F.col("b")
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
         else:
-            left = materialize(rows.join(mixed.select("key"), "key", "left_semi").select("cls", "n", "most", "label").distinct(), "members")
+            left = materialize(rows.join(mixed.select("key"), "key", "left_semi").select("id", "n", "most", "label").distinct(), "members")
             pairs = prefix_pairs(sets, left, percent, possible)
         pairs = pairs.distinct()
         if checked is not None:
@@ -257,21 +276,41 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         if labels is None or not new.isEmpty():
             labels = connected(links)
 
-    grouped = classes.select("cls", "first", "copies").join(labels, classes["cls"] == labels["v"], "left")
-    linked = grouped.where("label is not null").groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = grouped.where("copies > 1 or label is not null").join(linked, "label", "left").select("cls", F.coalesce("component_id", "first").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = described.select("doc_id", "n", "cls", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = salted.join(ids, ["cls", "salt"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    grouped = classes.join(labels, classes["id"] == labels["v"], "left")
+    linked = grouped.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
+    reps = grouped.where("copies > 1 or label is not null").join(linked, "label", "left")
+    reps = reps.select("cls", "cls2", "n", F.coalesce("least", "first").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = described.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int"))
+    return salted.join(reps, ["cls", "cls2", "n", "salt"], "left").select("doc_id", "tie", "n", "rep")
+
+
+def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    found = assigned(docs, k, percent)
+    own = F.when(F.col("rep").isNotNull(), F.col("rep.doc_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, all columns, without those whose component has a smaller doc_id; of repeated
-    rows with one doc_id and text, one stays. Rows without a doc_id stay."""
-    found = components(docs.select("doc_id", "text"), k, percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """The rows, all columns, with one row of each component: that of the smallest doc_id
+    (rows without one come last; of one doc_id's texts, the smallest hash). Decisions are
+    by row, not by doc_id. Of rows equal in doc_id and text one stays, any of them where
+    further columns differ. Rows without words stay, repeated or not."""
+    found = materialize(assigned(docs.select("doc_id", "text"), k, percent).where("n > 0"), "decisions")
+    mine = "tie"
+    while mine in (c.lower() for c in docs.columns):
+        mine += "_"
+    rows = docs.withColumn(mine, tie())
+    same = lambda some: rows["doc_id"].cast("long").eqNullSafe(some["doc_id"]) & (rows[mine] == some["tie"])
+    stays = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("tie") == F.col("rep.tie"))
+    gone = found.where(F.col("rep").isNotNull() & ~stays).select("doc_id", "tie").distinct()
+    repeated = found.where(F.col("rep").isNotNull() & stays).groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(repeated.select("doc_id", "tie"), "repeated")
+    kept = rows.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    one = rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", mine])
+    return kept.join(repeated, same(repeated), "left_anti").unionByName(one).select(*docs.columns)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Token ids in Re-Pair compressed shards with random-access decoding.
 
-A shard holds whole documents. Rounds of replacement take the most frequent adjacent id
-pairs of the shard and replace them by nonterminals, until none is frequent; a pair never crosses a document's
-end, so each document expands on its own. The shard stores the rules, the expansion
-length of every rule, and for each document its first symbol, so document k is decoded
-without touching the rest, and token j of it by summing expansion lengths.
+A shard holds whole documents. Adjacent id pairs are counted exactly; the most frequent ones
+are replaced by nonterminals, again and again, until none occurs `least` times. A pair never
+crosses a document's end, so each document expands on its own. The shard stores the rules,
+the expansion length of every rule, and for each document its first symbol: document k is
+decoded from its own symbols, which `ShardFile` reads by a seek, and token j of it is found
+by summing expansion lengths and going down one path of the rules.
 
 Cases: null text is an empty text (its ids are the end id alone); an empty table writes
 no shard and returns no row; repeated doc_ids and repeated rows are kept as rows of their
-own, ordered by doc_id (null first) and then by the text's hash; further columns of the
+own, ordered by doc_id (null first, kept null) and then by the text's hash; rows equal in
+both go to one task, which writes shards of bounded size one after the other; further columns of the
 input are ignored, whatever their names.
 """
 
@@ -18,7 +20,6 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +27,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from .files import distribute, local_path, tokenizer_path
-from .store import fresh_dir, materialize, read_bytes, write_atomic
-from .textops import PieceIds, slices
+from .files import distribute, held, local_path, tokenizer_path
+from .store import filesystem, fresh_dir, materialize, read_bytes, write_atomic
+from .textops import SLICE, PieceIds, slices
 
-MAGIC = b"RPR1"
-NO_ID = -(1 << 63)
-#: Bits of the table in which pairs are counted.
-SLOTS = 18
-#: So many times per_round pairs are replaced in a round that counts them one by one.
-EXACT = 16
+MAGIC = b"RPR2"
+#: Pairs that occur at least 1/SPREAD times as often as the most frequent one are replaced in one pass.
+SPREAD = 8
+#: Expansions up to this many tokens are written out when a whole shard is decoded.
+FLAT = 16
+U = np.uint64
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, per_round: int = 2048, least: int = 8):
-    """(symbols, first symbol of each document, rules, first nonterminal).
+def _pair_counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    every = np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[first], np.diff(np.append(first, len(every)))
 
-    Goes on until no pair inside a document occurs `least` times, or for so many rounds.
+
+def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions whose pair is chosen, which one it is, and the chosen that are found. Chosen pairs
+    stand in rising order of frequency; of two that share a slot of the table the more frequent is found."""
+    bits = max(16, len(chosen).bit_length() + 3)
+    slot_of = lambda k: (k * U(0x9E3779B97F4A7C15) >> U(64 - bits)).astype(np.int32)
+    slot = slot_of(chosen)
+    table, rank = np.full(1 << bits, U(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits, np.int32)
+    rank[slot] = np.arange(len(chosen), dtype=np.int32)
+    table[slot] = chosen[rank[slot]]
+    slot = slot_of(key)
+    where = np.flatnonzero(table[slot] == key)
+    return where, rank[slot[where]], table[slot_of(chosen)] == chosen
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8):
+    """(symbols, ends of the documents in them, rules, expansion lengths of the rules, first nonterminal).
 
     ids: all documents' ids; ends: index after the last id of each document, which has one id at least.
     """
@@ -49,153 +68,154 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, per_r
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
-    rules: list[np.ndarray] = []
-    nxt, exact = base, False
-    while rounds is None or (rounds := rounds - 1) >= 0:
-        if len(seq) < 2:
+    rules, length = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
+    while True:
+        inside = np.flatnonzero(~last[:-1])
+        if not len(inside):
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int32)
-        if not exact:
-            slots, keys = slot, key
-            count = np.bincount(slot, minlength=1 << SLOTS)
-            level = max(least, int(np.partition(count, -per_round)[-per_round]))
-            where = np.flatnonzero((count >= level)[slot] & ~last[:-1])
-            # one pair stands for each frequent slot of the hash table; others in it wait for a later round
-            pair = np.zeros(1 << SLOTS, np.uint64)
-            slot, key = slot[where], key[where]
-            pair[slot] = key
-            same = pair[slot] == key
-            where, slot = where[same], slot[same]
-            count = np.bincount(slot, minlength=1 << SLOTS)
-            order = np.flatnonzero(count >= least)
-            order = order[np.argsort(-count[order], kind="stable")][:per_round]
-            exact = len(order) < per_round // 4
-            if exact:
-                slot, key = slots, keys
-        if exact:
-            # few are left, or rare pairs stand for frequent ones: from here on pairs are counted one by one, not by slot
-            where = np.flatnonzero(~last[:-1])
-            where = where[(np.bincount(slot[where], minlength=1 << SLOTS) >= least)[slot[where]]]
-            slot, key = slot[where], key[where]
-            every = np.sort(key)
-            first = np.flatnonzero(np.concatenate([every[:1] == every[:1], every[1:] != every[:-1]]))
-            count = np.diff(np.append(first, len(every)))
-            order = np.flatnonzero(count >= least)
-            order = np.sort(order[np.argsort(-count[order], kind="stable")][: EXACT * per_round])
-            pair, order = every[first[order]], np.arange(len(order))
-            chosen = np.zeros(1 << SLOTS, bool)
-            chosen[(pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int32)] = True
-            near = np.flatnonzero(chosen[slot])
-            where, key = where[near], key[near]
-            slot = np.minimum(np.searchsorted(pair, key), max(0, len(pair) - 1))
-            same = np.flatnonzero(pair[slot] == key) if len(pair) else near[:0]
-            where, slot = where[same], slot[same]
-        if not len(order):
+        key = (seq[inside].astype(U) << U(32)) | seq[inside + 1]
+        pair, count = _pair_counts(key)
+        chosen = np.flatnonzero(count >= max(least, int(count.max()) // SPREAD))
+        if not len(chosen):
             break
-        symbol = np.zeros(len(pair), np.uint32)
-        symbol[order] = np.arange(nxt, nxt + len(order))
-        new = symbol[slot]
-        where, new = where[new > 0], new[new > 0]
-        # of overlapping occurrences every second one is taken, from the left
-        run = np.flatnonzero(np.diff(where, prepend=-2) != 1)
-        begin = np.repeat(where[run], np.diff(np.append(run, len(where))))
-        take = (where - begin) % 2 == 0
-        where, new = where[take], new[take]
-        pair = pair[order]
-        rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        nxt += len(order)
-        seq[where] = new
+        chosen = chosen[np.argsort(count[chosen], kind="stable")]
+        pair = pair[chosen]
+        at, rank, _ = _places(key, pair)
+        where = inside[at]
+        # of overlapping occurrences of one pair every second one is taken, from the left
+        same = (np.diff(where, prepend=-2) == 1) & (np.diff(rank, prepend=-1) == 0)
+        begin = np.flatnonzero(~same)
+        odd = (np.arange(len(where)) - np.repeat(begin, np.diff(np.append(begin, len(where))))) % 2 == 1
+        where, rank = where[~odd], rank[~odd]
+        # of overlapping occurrences of two pairs the more frequent pair's
+        near = np.diff(where) == 1
+        lose = np.zeros(len(where), bool)
+        lose[1:] |= near & (rank[:-1] > rank[1:])
+        lose[:-1] |= near & (rank[1:] > rank[:-1])
+        where, rank = where[~lose], rank[~lose]
+        # a pair that lost most of its occurrences waits; the most frequent one never does
+        good = np.bincount(rank, minlength=len(pair)) * 2 >= least
+        where, rank = where[good[rank]], rank[good[rank]]
+        number = np.cumsum(good) - 1 + base + len(length)
+        a, b = (pair[good] >> U(32)).astype(np.int64), (pair[good] & U(0xFFFFFFFF)).astype(np.int64)
+        every = np.concatenate([np.ones(base, np.uint32), length])
+        rules.append(np.stack([a, b], 1).astype(np.uint32))
+        length = np.concatenate([length, every[a] + every[b]])
+        seq[where] = number[rank]
         last[where] = last[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq, last = seq[keep], last[keep]
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    stops = np.flatnonzero(last) + 1
-    return seq, stops, table, base
-
-
-def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """Tokens that each nonterminal stands for. A rule only uses earlier symbols."""
-    length = np.ones(len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        length[k] = (length[a - base] if a >= base else 1) + (length[b - base] if b >= base else 1)
-    return length
-
-
-def flat_rules(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The expansions of all symbols one after another (an id below base is its own), and where each begins."""
-    out: list[list[int]] = []
-    for a, b in rules.tolist():
-        out.append((out[a - base] if a >= base else [a]) + (out[b - base] if b >= base else [b]))
-    begin = np.concatenate([np.arange(base + 1), base + np.cumsum([len(x) for x in out], dtype=np.int64)])
-    return np.concatenate([np.arange(base, dtype=np.uint32), np.array([t for x in out for t in x], np.uint32)]), begin
-
-
-def expand(symbols: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    first = begin[symbols]
-    length = begin[symbols.astype(np.int64) + 1] - first
-    total = np.cumsum(length)
-    return flat[np.repeat(first - total + length, length) + np.arange(total[-1] if len(total) else 0)]
-
-
-def pack(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray, start: int) -> list[bytes]:
-    """The bytes of a shard; start: ids of this partition before it."""
-    symbols, stops, rules, base = compress(ids, ends)
-    wide = len(rules) + base > 0xFFFF
-    head = {"docs": len(doc_ids), "symbols": len(symbols), "rules": len(rules), "base": base, "start": start, "width": 4 if wide else 2}
+    return seq, np.flatnonzero(last) + 1, np.concatenate(rules), length, base
+
+
+class Grammar:
+    """Rules with their expansion lengths; symbols below base stand for themselves."""
+
+    def __init__(self, rules: np.ndarray, length: np.ndarray, base: int):
+        self.rules, self.base = rules, base
+        self.length = np.concatenate([np.ones(base, np.int64), length.astype(np.int64)])
+
+    def _unfold(self, symbols: np.ndarray, longest: int) -> np.ndarray:
+        """Symbols of longer expansions replaced by their pairs until none is left."""
+        symbols = symbols.astype(np.int64)
+        while len(deep := np.flatnonzero(self.length[symbols] > longest)):
+            size = np.ones(len(symbols), np.int64)
+            size[deep] = 2
+            at = np.cumsum(size) - size
+            out = np.empty(len(symbols) + len(deep), np.int64)
+            out[at] = symbols
+            pairs = self.rules[symbols[deep] - self.base]
+            out[at[deep]], out[at[deep] + 1] = pairs[:, 0], pairs[:, 1]
+            symbols = out
+        return symbols
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        return self._unfold(symbols, 1).astype(np.uint32)
+
+    def expand_many(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for a whole shard: short expansions are written out once and copied."""
+        short = np.flatnonzero(self.length <= FLAT)
+        flat = self._unfold(short, 1)
+        begin = np.zeros(len(self.length), np.int64)
+        begin[short] = np.cumsum(self.length[short]) - self.length[short]
+        symbols = self._unfold(symbols, FLAT)
+        size = self.length[symbols]
+        total = np.cumsum(size)
+        return flat[np.repeat(begin[symbols] - total + size, size) + np.arange(total[-1] if len(total) else 0)].astype(np.uint32)
+
+    def token(self, symbols: np.ndarray, j: int) -> int:
+        """Token j of what the symbols stand for, down one path of the rules."""
+        ends = np.cumsum(self.length[symbols])
+        i = int(np.searchsorted(ends, j, "right"))
+        j -= int(ends[i - 1]) if i else 0
+        s = int(symbols[i])
+        while s >= self.base:
+            a, b = self.rules[s - self.base].tolist()
+            s, j = (a, j) if j < self.length[a] else (b, j - int(self.length[a]))
+        return s
+
+
+def pack(doc_ids: np.ndarray, known: np.ndarray, ids: np.ndarray, ends: np.ndarray, start: int) -> list[bytes]:
+    """The bytes of a shard; known: false where a doc_id is null; start: ids of this partition before it."""
+    symbols, stops, rules, length, base = compress(ids, ends)
+    width = 4 if len(rules) + base > 0xFFFF else 2
+    head = {"docs": len(doc_ids), "symbols": len(symbols), "rules": len(rules), "base": base, "start": start, "width": width}
     text = json.dumps(head).encode()
-    counts = np.diff(ends, prepend=0).astype("<i8")
-    return [MAGIC, struct.pack("<I", len(text)), text, doc_ids.astype("<i8").tobytes(), counts.tobytes(), stops.astype("<i8").tobytes(), rules.astype("<u4").tobytes(), expansion_lengths(rules, base).astype("<u4").tobytes(), symbols.astype("<u4" if wide else "<u2").tobytes()]
+    parts = [np.packbits(known), doc_ids.astype("<i8"), stops.astype("<i8"), rules.astype("<u4"), length.astype("<u4"), symbols.astype(f"<u{width}")]
+    return [MAGIC, struct.pack("<I", len(text)), text, *(x.tobytes() for x in parts)]
 
 
-class Shard:
-    """A read shard: `ids(k)` decodes document k alone, `token(k, j)` one token of it."""
+class ShardFile:
+    """Random access to a shard: reads the list of documents and the rules once, and of the
+    symbols only those of the document that is asked for."""
 
-    def __init__(self, blob: bytes):
-        if blob[:4] != MAGIC:
+    def __init__(self, file):
+        self.file = file
+        magic, n = struct.unpack("<4sI", file.read(8))
+        if magic != MAGIC:
             raise ValueError("not a Re-Pair shard")
-        (n,) = struct.unpack_from("<I", blob, 4)
-        self.head = h = json.loads(blob[8 : 8 + n])
-        at = 8 + n
-
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(blob, kind, count, at)
-            at += out.nbytes
-            return out
-
-        self.doc_ids, self.counts, self.stops = (take("<i8", h["docs"]) for _ in range(3))
-        self.rules = take("<u4", 2 * h["rules"]).reshape(-1, 2)
-        self.lengths = take("<u4", h["rules"])
-        self.symbols = take("<u4" if h["width"] == 4 else "<u2", h["symbols"])
-        self.flat, self.begin = flat_rules(self.rules, h["base"])
-
-    def _symbols(self, k: int) -> np.ndarray:
-        return self.symbols[self.stops[k - 1] if k else 0 : self.stops[k]]
+        self.head = h = json.loads(file.read(n))
+        take = lambda kind, count: np.frombuffer(file.read(np.dtype(kind).itemsize * count), kind)
+        self.known = np.unpackbits(take("u1", -(-h["docs"] // 8)), count=h["docs"]).astype(bool)
+        self.doc_ids, self.stops = take("<i8", h["docs"]), take("<i8", h["docs"])
+        rules = take("<u4", 2 * h["rules"]).reshape(-1, 2)
+        self.grammar = Grammar(rules, take("<u4", h["rules"]), h["base"])
+        self.kind, self.begin = f"<u{h['width']}", file.tell()
+
+    def symbols(self, k: int) -> np.ndarray:
+        """The symbols of document k."""
+        first, size = (int(self.stops[k - 1]) if k else 0), np.dtype(self.kind).itemsize
+        self.file.seek(self.begin + first * size)
+        return np.frombuffer(self.file.read((int(self.stops[k]) - first) * size), self.kind)
 
     def ids(self, k: int) -> np.ndarray:
-        return expand(self._symbols(k), self.flat, self.begin)
-
-    def all_ids(self) -> np.ndarray:
-        """All documents' ids, one after another."""
-        return expand(self.symbols, self.flat, self.begin)
+        return self.grammar.expand(self.symbols(k))
 
     def token(self, k: int, j: int) -> int:
-        s = self._symbols(k).astype(np.int64)
-        base = self.head["base"]
-        length = np.ones(len(s), np.int64)
-        rule = s >= base
-        length[rule] = self.lengths[s[rule] - base]
-        ends = np.cumsum(length)
-        i = int(np.searchsorted(ends, j, "right"))
-        inner = j - int(ends[i] - length[i])
-        return int(self.flat[self.begin[s[i]] + inner])
+        return self.grammar.token(self.symbols(k), j)
+
+    def find(self, doc_id: int | None) -> list[int]:
+        """The documents of that id."""
+        return np.flatnonzero((self.doc_ids == doc_id) & self.known if doc_id is not None else ~self.known).tolist()
+
+    def all_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """All documents' ids, one after another, and how many each has (by the stored lengths)."""
+        self.file.seek(self.begin)
+        symbols = np.frombuffer(self.file.read(), self.kind, self.head["symbols"])
+        total = np.concatenate([[0], np.cumsum(self.grammar.length[symbols])])
+        return self.grammar.expand_many(symbols), np.diff(total[self.stops], prepend=0)
 
 
-@lru_cache(maxsize=2)
-def _encoder(name: str) -> PieceIds:
-    return PieceIds(library_encoder(local_path(name)))
+def read_document(manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
+    """The ids of the documents of that id, read by seeks."""
+    found = []
+    for row in manifest.where((F.col("first") <= doc_id) & (F.col("last") >= doc_id)).orderBy("part", "seq").collect():
+        fs, path = filesystem(row.path)
+        with fs.open_input_file(path) as f:
+            shard = ShardFile(f)
+            found += [shard.ids(k) for k in shard.find(doc_id)]
+    return found
 
 
 def library_encoder(path: str):
@@ -249,7 +269,7 @@ def library_encoder(path: str):
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens: int = 2_000_000) -> DataFrame:
     """Encode doc_id, text in ascending doc_id order into shards; returns the stored manifest
-    (part, seq, path, start, n_docs, n_tokens), start counted within the part.
+    (part, seq, path, first and last doc_id, start, n_docs, n_tokens), start counted within the part.
 
     The order is a range partitioning (equal ids are told apart by the text's hash, so one
     hot id is spread as far as its texts differ); each task writes its own shards.
@@ -260,42 +280,45 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_tokens:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    schema = "part long, seq int, path string, start long, n_docs long, n_tokens long"
+    schema = "part long, seq int, path string, first long, last long, start long, n_docs long, n_tokens long"
+    kinds = [pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = _encoder(name)
-        docs, parts, counts, size, start, out = [], [], [], 0, 0, []
+        encoder = held(("repair", name), lambda: PieceIds(library_encoder(local_path(name))))
+        docs, known, parts, counts, size, start, out = [], [], [], [], 0, 0, []
 
         def flush() -> None:
-            nonlocal docs, parts, counts, size, start
-            ids, n = np.concatenate(parts), np.concatenate(counts)
+            nonlocal docs, known, parts, counts, size, start
+            ids, n, names, real = (np.concatenate(x) for x in (parts, counts, docs, known))
             path = f"{folder}/part-{part:06d}-{len(out):05d}.rpr"
-            write_atomic(path, pack(np.concatenate(docs), ids, np.cumsum(n), start))
-            out.append((part, len(out), path, start, len(n), len(ids)))
+            write_atomic(path, pack(names, real, ids, np.cumsum(n), start))
+            some = names[real]
+            out.append((part, len(out), path, int(some.min()) if len(some) else None, int(some.max()) if len(some) else None, start, len(n), len(ids)))
             start += len(ids)
-            docs, parts, counts, size = [], [], [], 0
+            docs, known, parts, counts, size = [], [], [], [], 0
 
         for batch in batches:
-            names = batch.column(0).fill_null(NO_ID).to_numpy()
-            for i, data, off in slices(batch.column(1)):
+            names, real = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for i, data, off in slices(batch.column(1), min(SLICE, 4 * shard_tokens)):
                 ids, n = encoder.encode(data, off)
                 parts.append(np.insert(ids, np.cumsum(n), np.uint32(end_id)))
                 counts.append(n + 1)
                 docs.append(names[i : i + len(n)])
+                known.append(real[i : i + len(n)])
                 size += len(parts[-1])
                 if size >= shard_tokens:
                     flush()
         if size:
             flush()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["part", "seq", "path", "start", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "seq", "path", "first", "last", "start", "n_docs", "n_tokens"])
 
     return materialize(rows.mapInArrow(run, schema), "repair-manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """One row per stored document: doc_id, start, n_tokens, ids_crc32, and shard figures.
+    """One row per stored document: doc_id, start, n_tokens, ids_crc32, and its symbols in the shard.
 
     Offsets of the parts come from one small sum per part, not from the documents.
     """
@@ -311,13 +334,13 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(read_bytes(path))
-                starts = offset + np.cumsum(shard.counts) - shard.counts
-                raw = memoryview(shard.all_ids().astype("<u4").tobytes())
-                at = np.concatenate([[0], np.cumsum(shard.counts)]) * 4
-                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                docs = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NO_ID)
-                yield pa.RecordBatch.from_arrays([docs, pa.array(starts, pa.int64()), pa.array(shard.counts, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(shard.stops, prepend=0), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "n_symbols"])
+                shard = ShardFile(pa.BufferReader(read_bytes(path)))
+                ids, counts = shard.all_ids()
+                raw = memoryview(ids.astype("<u4").tobytes())
+                at = np.concatenate([[0], np.cumsum(counts)])
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((at[:-1] * 4).tolist(), (at[1:] * 4).tolist(), strict=True)]
+                columns = [pa.array(shard.doc_ids, pa.int64(), mask=~shard.known), offset + at[:-1], counts, crc, np.diff(shard.stops, prepend=0)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32", "n_symbols"])
 
     return todo.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
+from .textops import portions
 
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -142,24 +143,23 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]")
 
 
 def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """doc_id, counts and digest of the base spans, all spans, and the redacted text."""
+    """doc_id, counts and digest of the base spans, and all spans."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = [re.compile(p) for p in allow]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in portions(batch, 1):
                 rows = []
                 for text in part.column(1).to_pylist():
                     base = base_spans(text or "")
                     every = base + entropy_spans(text or "", patterns)
                     n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
-                    rows.append((*n, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(every), redact(text, every) if every else text))
+                    rows.append((*n, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(every)))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_documents(docs: DataFrame, allow: tuple[str, ...] = ALLOW, length_column: str | None = None) -> DataFrame:
@@ -172,8 +172,7 @@ def redact_documents(docs: DataFrame, allow: tuple[str, ...] = ALLOW, length_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = [re.compile(p) for p in allow]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in portions(batch, at):
                 old = part.column(at).to_pylist()
                 new = [redact(t, spans) if t and (spans := base_spans(t) + entropy_spans(t, patterns)) else t for t in old]
                 columns = list(part.columns)
@@ -187,4 +186,4 @@ def redact_documents(docs: DataFrame, allow: tuple[str, ...] = ALLOW, length_col
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("redacted")
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

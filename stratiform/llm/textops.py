@@ -6,33 +6,19 @@ is a slice of its own. Nulls are empty texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 19
 U = np.uint64
-_rng = np.random.default_rng(20240607)
-BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-P = U(0x9E3779B97F4A7C15)
-P_INV = U(pow(int(P), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LOWER_BYTES = bytes(LOWER)
-_pow = np.ones(1, U)
-_inv = np.ones(1, U)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, 2 * SLICE)
-        _pow = np.cumprod(np.concatenate([np.ones(1, U), np.full(size, P)]))
-        _inv = np.cumprod(np.concatenate([np.ones(1, U), np.full(size, P_INV)]))
-    return _pow[:n], _inv[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,13 +69,35 @@ def word_bounds(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, off)
 
 
+#: Longer words than this many bytes are hashed and compared one by one.
+LONG = 64
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at every place of an array of bytes, as one number each; zeros follow the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.as_strided(padded[:8].view(U), (len(data) + 9,), (1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: polynomials in an odd number modulo 2**64, then mixed with the length."""
-    n = len(data)
-    pw, inv = _powers(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(BYTE[data] * pw[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(U))
+    """64-bit hashes of byte ranges, mixed eight bytes at a time (a bijection of the bytes for
+    ranges of one length up to eight); of more than LONG bytes, a cryptographic hash."""
+    size = ends - starts
+    view = lanes(data)
+    h = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    h = mix(h ^ (view[starts] & _LANE[np.minimum(size, 8)]))
+    live = np.flatnonzero(size > 8)
+    for j in range(8, LONG, 8):
+        if not len(live):
+            return h
+        left = size[live] - j
+        h[live] = mix(h[live] * U(0xD6E8FEB86659FD93) ^ (view[starts[live] + j] & _LANE[np.minimum(left, 8)]))
+        live = live[left > 8]
+    for i in live.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:
@@ -103,6 +111,17 @@ def combine(parts: list[np.ndarray]) -> np.ndarray:
 NOT_SPACE = ~SPACE
 
 
+def portions(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows and, but for a longer row alone, bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    i, n = 0, batch.num_rows
+    while i < n:
+        before = ends[i - 1] if i else 0
+        j = min(i + rows, max(i + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(document index, sorted distinct hashes of its k-word shingles) for every document.
 
@@ -123,6 +142,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             else:
                 yield i + d, np.zeros(0, U)
 
+
 #: Byte classes for cutting text into pieces: white space, ASCII letters, ASCII marks but the apostrophe, the rest.
 KIND = np.full(256, 3, np.uint8)
 KIND[SPACE] = 0
@@ -150,12 +170,9 @@ def piece_bounds(data: np.ndarray, off: np.ndarray, cut_marks: bool) -> tuple[np
 
 
 class WordTable:
-    """Open addressing from 64-bit hashes to consecutive numbers, a whole batch at a time."""
+    """Open addressing from 64-bit hashes to numbers, a whole batch at a time."""
 
     def __init__(self, bits: int = 16):
-        self.clear(bits)
-
-    def clear(self, bits: int = 16) -> None:
         self.bits, self.n = bits, 0
         self.keys = np.zeros(1 << bits, U)
         self.number = np.zeros(1 << bits, np.int32)
@@ -179,14 +196,14 @@ class WordTable:
             todo, slot = todo[more], slot[more]
         return out
 
-    def add(self, h: np.ndarray) -> None:
-        """Number distinct hashes that are not in the table, in their order."""
+    def put(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Distinct hashes, none of them 0 or in the table, and their numbers."""
         while (self.n + len(h)) * 2 > len(self.keys):
             old, num = self.keys, self.number
             self.bits += 2
             self.keys, self.number = np.zeros(1 << self.bits, U), np.zeros(1 << self.bits, np.int32)
             self._put(old[old != 0], num[old != 0])
-        self._put(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
+        self._put(h, number)
         self.n += len(h)
 
     def _put(self, h: np.ndarray, number: np.ndarray) -> None:
@@ -201,43 +218,103 @@ class WordTable:
             todo, slot = todo[~won], (slot[~won] + 1) & last
 
 
+class Numbering:
+    """Consecutive numbers of distinct pieces over many slices. A hit in the table of hashes
+    counts only if the bytes are equal; pieces whose hash belongs to other bytes are kept apart."""
+
+    def __init__(self):
+        self.table, self.apart, self.n = WordTable(), {}, 0
+        self.text, self.begin = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, np.int64)
+
+    def number(self, pieces: "Pieces", fresh) -> np.ndarray:
+        """Each piece's number; fresh gets the bytes of new pieces, in the order of their numbers."""
+        found = self._find(pieces, np.arange(len(pieces.hashes)))
+        missing = np.flatnonzero(found == -1)
+        if len(missing):
+            _, at = np.unique(pieces.hashes[missing], return_index=True)
+            new = missing[at]
+            places = np.arange(self.n, self.n + len(new), dtype=np.int32)
+            self._keep(raw := pieces.raw(new))
+            self.table.put(pieces.hashes[new], places)
+            fresh(raw)
+            found[missing] = self._find(pieces, missing)
+        for i in np.flatnonzero(found == -2).tolist():
+            (piece,) = pieces.raw(np.array([i]))
+            if piece not in self.apart:
+                self.apart[piece] = self.n
+                self._keep([piece])
+                fresh([piece])
+            found[i] = self.apart[piece]
+        return found
+
+    def _keep(self, raw: list[bytes]) -> None:
+        sizes = np.array([len(x) for x in raw], np.int64)
+        used = int(self.begin[self.n])
+        while used + int(sizes.sum()) + 16 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        while self.n + len(raw) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.text[used : used + int(sizes.sum())] = np.frombuffer(b"".join(raw), np.uint8)
+        self.begin[self.n + 1 : self.n + 1 + len(raw)] = used + np.cumsum(sizes)
+        self.n += len(raw)
+
+    def _find(self, pieces: "Pieces", at: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces at those places; -1 where the hash is not there, -2 where it belongs to other bytes."""
+        number = self.table.find(pieces.hashes[at])
+        hit = np.flatnonzero(number >= 0)
+        k = number[hit]
+        start, mine = pieces.starts[at[hit]], self.begin[k]
+        size = pieces.ends[at[hit]] - start
+        wrong = size != self.begin[k + 1] - mine
+        # the place after the last byte and eight more are within the array
+        kept = np.lib.stride_tricks.as_strided(self.text[:8].view(U), (len(self.text) - 7,), (1,))
+        live = np.flatnonzero(~wrong)
+        for j in range(0, LONG, 8):
+            if not len(live):
+                break
+            left = size[live] - j
+            mask = _LANE[np.minimum(left, 8)]
+            bad = (pieces.lanes[start[live] + j] ^ kept[mine[live] + j]) & mask != 0
+            wrong[live[bad]] = True
+            live = live[~bad & (left > 8)]
+        for i in live.tolist():
+            wrong[i] = not np.array_equal(pieces.data[start[i] : start[i] + size[i]], self.text[mine[i] : mine[i] + size[i]])
+        number[hit[wrong]] = -2
+        return number
+
+
 class PieceIds:
-    """Ids of pieces of text by their hashes; `learn` encodes the pieces that are new.
+    """Ids of pieces of text; `learn` encodes the pieces that are new.
 
     `cut` cuts a slice of texts into pieces. At most `most` pieces are kept; the table
     starts anew beyond that.
     """
 
-    def __init__(self, learn, most: int = 2_000_000, cut=None):
+    def __init__(self, learn, most: int = 1_000_000, cut=None):
         self.learn, self.most, self.cut = learn, most, cut or Pieces
         self.reset()
 
     def reset(self) -> None:
-        self.table = WordTable()
-        self.begin, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.numbering = Numbering()
+        self.begin, self.flat, self.used, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
 
-    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = self.table.n
+    def _store(self, raw: list[bytes]) -> None:
+        ids, sizes = self.learn(raw)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(sizes) + 1 > len(self.begin):
+        while self.n + len(sizes) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[n + 1 : n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.begin[self.n + 1 : self.n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
         self.used += len(ids)
+        self.n += len(sizes)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice of texts, and how many each document has."""
-        pieces = self.cut(data, off)
-        number, new = pieces.numbers(self.table)
-        if self.table.n + len(new) > self.most and self.table.n:
+        if self.n > self.most:
             self.reset()
-            number, new = pieces.numbers(self.table)
-        if len(new):
-            self._store(*self.learn(pieces.raw(new)))
-            self.table.add(pieces.hashes[new])
-            todo = number < 0
-            number[todo] = self.table.find(pieces.hashes[todo])
+        pieces = self.cut(data, off)
+        number = self.numbering.number(pieces, self._store)
         size = self.begin[number + 1] - self.begin[number]
         total = np.concatenate([[0], np.cumsum(size)])
         out = self.flat[np.repeat(self.begin[number] - total[:-1], size) + np.arange(total[-1])]
@@ -251,20 +328,17 @@ class Pieces:
     def __init__(self, data: np.ndarray, off: np.ndarray):
         plain = b"<|" not in data.tobytes()
         self.data = LOWER[data] if plain else data
-        self.starts, self.ends, self.first = piece_bounds(self.data, off, plain)
-        self.hashes = word_hashes(self.data, self.starts, self.ends)
-        self.hashes[self.hashes == 0] = U(1)
+        self._index(*piece_bounds(self.data, off, plain))
 
-    def numbers(self, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
-        """Each piece's number in the table or -1, and one place of every piece that is missing there."""
-        number = table.find(self.hashes)
-        missing = np.flatnonzero(number < 0)
-        _, at = np.unique(self.hashes[missing], return_index=True)
-        return number, missing[at]
+    def _index(self, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> None:
+        self.starts, self.ends, self.first = starts, ends, first
+        self.lanes = lanes(self.data)
+        self.hashes = word_hashes(self.data, starts, ends)
+        self.hashes[self.hashes == 0] = U(1)
 
     def raw(self, at: np.ndarray) -> list[bytes]:
-        raw = self.data.tobytes()
-        return [raw[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
+        raw = memoryview(self.data)
+        return [bytes(raw[a:b]) for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
 
 class Words(Pieces):
@@ -272,26 +346,17 @@ class Words(Pieces):
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data = LOWER[data]
-        self.starts, self.ends, self.first = word_bounds(self.data, off, NOT_SPACE)
-        self.hashes = word_hashes(self.data, self.starts, self.ends)
-        self.hashes[self.hashes == 0] = U(1)
+        self._index(*word_bounds(self.data, off, NOT_SPACE))
 
 
 class PieceCounts:
     """Counts of distinct pieces over many slices."""
 
     def __init__(self):
-        self.table, self.pieces, self.count = WordTable(), [], np.zeros(1 << 16, np.int64)
+        self.numbering, self.pieces, self.count = Numbering(), [], np.zeros(1 << 16, np.int64)
 
     def add(self, data: np.ndarray, off: np.ndarray) -> None:
-        pieces = Pieces(data, off)
-        number, new = pieces.numbers(self.table)
-        if len(new):
-            self.pieces += pieces.raw(new)
-            self.table.add(pieces.hashes[new])
-            todo = number < 0
-            number[todo] = self.table.find(pieces.hashes[todo])
-        n = np.bincount(number)
+        n = np.bincount(self.numbering.number(Pieces(data, off), self.pieces.extend))
         while len(n) > len(self.count):
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
         self.count[: len(n)] += n

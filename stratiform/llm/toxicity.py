@@ -6,7 +6,8 @@ out-of-fold predictions, so a model never sees an earlier model's answer on a ro
 model was fitted to. Features are words and their first 4, 5 and 6 letters, hashed: that one
 occurs at all, in certain numbers, and in certain shares of the text; each model keeps those whose counts in the two classes differ beyond
 chance. Models are fitted on a bounded sample of labelled rows (parameter sample_rows, in
-expectation); predictions cover every row and whole texts.
+expectation). Features are counted by class and fold on the executors; the driver gets the counts of those
+that may be chosen, at most MOST_CANDIDATES, and the rows' features among these. Predictions cover every row and whole texts.
 
 Cases: a null or empty text has no features and gets the models' intercepts; without
 labelled rows every probability is 0; a label that is null is left out of that category's
@@ -16,27 +17,26 @@ as rows; repeated documents stay rows of their own; further columns are ignored.
 
 from __future__ import annotations
 
-import os
-import pickle
 import re
-import tempfile
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from .files import distribute, local_path
-from .textops import PieceIds, Words, slices
+from .files import distribute_object, held, load_object
+from .store import materialize
+from .textops import PieceIds, Words, portions, slices
 
 BITS = 20
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 WORDS_KEPT = 300_000
 FOLDS = 3
 MOST_FEATURES = 4000
+#: Features that the driver fits on, at most: those of the greatest deviation from chance.
+MOST_CANDIDATES = 40_000
 #: Features that fewer texts of the sample have are left out.
 RAREST = 3
 #: Standard deviations between a feature's count in a class and what chance gives.
@@ -146,16 +146,11 @@ def logit(p: np.ndarray) -> np.ndarray:
 class Chain:
     """One model a category; earlier categories' log-odds are dense inputs of later ones."""
 
-    def fit(self, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> "Chain":
-        """flat, sizes: features as Features.of gives them; labels: one column a category, NaN
-        where unknown; folds: numbers below FOLDS."""
+    def fit(self, at: np.ndarray, sizes: np.ndarray, labels: np.ndarray, folds: np.ndarray, common: np.ndarray) -> "Chain":
+        """at, sizes: each text's features, as places in the sorted array common; labels: one
+        column a category, NaN where unknown; folds: numbers below FOLDS."""
         n = len(sizes)
-        common = np.flatnonzero(np.bincount(flat, minlength=LEVELS << BITS) >= RAREST)
-        place = np.full(LEVELS << BITS, -1, np.int32)
-        place[common] = np.arange(len(common))
-        at = place[flat]
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)[at >= 0]
-        at = at[at >= 0]
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
 
         def rows_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             some = mask[doc]
@@ -213,42 +208,70 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample_rows: int = 12
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Features()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in portions(batch, batch.num_columns - 1, 256):
                 ids, sizes = found.of(part.column(batch.num_columns - 1))
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], ["fold", *names, "ids"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("fold", *names, "text").mapInArrow(run, schema).toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("fold", *names, "text").mapInArrow(run, schema)
+    rows = materialize(rows, "labelled")
+    kept = candidates(rows, names)
+    if not kept:
+        kept = [0]
+    wanted = distribute_object(spark, np.array(kept, np.int64))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = held(("candidates", wanted), lambda: load_object(wanted))
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            flat = ids.flatten().to_numpy()
+            place = np.minimum(np.searchsorted(keep, flat), len(keep) - 1)
+            mine = keep[place] == flat
+            total = np.concatenate([[0], np.cumsum(mine)])
+            ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+            few = pa.ListArray.from_arrays(total[ends].astype(np.int32), pa.array(place[mine], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], few], ["fold", *names, "ids"])
+
+    rows = rows.mapInArrow(narrow, schema).toArrow()
     if not rows.num_rows:
         return None
     ids = rows.column("ids").combine_chunks()
     y = np.column_stack([rows.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
-    return Chain().fit(ids.flatten().to_numpy(), ids.value_lengths().to_numpy(), y, rows.column("fold").to_numpy())
-
-
-@lru_cache(maxsize=2)
-def _chain(name: str) -> Chain | None:
-    with open(local_path(name), "rb") as f:
-        return pickle.load(f)
+    return Chain().fit(ids.flatten().to_numpy(), ids.value_lengths().to_numpy(), y, rows.column("fold").to_numpy(), np.array(kept, np.int64))
+
+
+def candidates(rows: DataFrame, names: list[str]) -> list[int]:
+    """Features, in rising order, that are common enough and whose counts in the classes of some
+    category differ beyond chance, over all rows or without one fold."""
+    known = [F.sum(F.when(F.col(n).isNotNull() & (F.col("fold") == f), value).otherwise(0)).alias(f"{kind}_{n}_{f}") for n in names for f in range(FOLDS) for kind, value in (("n", F.lit(1.0)), ("p", (F.col(n) > 0).cast("double")))]
+    sums = rows.agg(*known).first().asDict()
+    counts = rows.select("fold", *names, F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), *known).where(F.col("n") >= RAREST)
+    best = F.lit(0.0)
+    for n in names:
+        for out in (None, *range(FOLDS)):
+            folds = [f for f in range(FOLDS) if f != out]
+            size, ones = (sum(sums[f"{kind}_{n}_{f}"] or 0 for f in folds) for kind in "np")
+            if not 0 < ones < size:
+                continue
+            share = ones / size
+            total, seen = (sum((F.col(f"{kind}_{n}_{f}") for f in folds), F.lit(0.0)) for kind in "np")
+            z = F.abs(seen - total * share) / F.sqrt(total * (share * (1 - share)) + 0.5)
+            best = F.greatest(best, z)
+    chosen = counts.select("id", best.alias("z")).where(F.col("z") > BEYOND_CHANCE).orderBy(F.desc("z"), "id").limit(MOST_CANDIDATES)
+    return sorted(r[0] for r in chosen.select("id").collect())
 
 
 def predict(docs: DataFrame, chain: Chain | None, names: tuple[str, ...] = tuple(n for n, _ in CHAIN)) -> DataFrame:
     """doc_id and p_<category> for every row."""
     spark = docs.sparkSession
     ship_package(spark)
-    path = os.path.join(tempfile.mkdtemp(prefix="stratiform-"), "chain.pkl")
-    with open(path, "wb") as f:
-        pickle.dump(chain, f)
-    name = distribute(spark, path)
+    name = distribute_object(spark, chain)
     columns = [f"p_{n}" for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = _chain(name)
-        found = Features(chain.keep) if chain else None
+        chain, found = held(("toxicity", name), lambda: (made := load_object(name), made and Features(made.keep)))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in portions(batch, 1, 256):
                 p = chain.scores(part.column(1), found) if chain else np.zeros((part.num_rows, len(names)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in p.T)], ["doc_id", *columns])
 

@@ -136,7 +136,9 @@ def decide(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     groups = rows.where(F.col("size") >= LEAST_PAYLOAD).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1 and first is not null")
     groups = groups.select("digest", "size", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    # pages that are too small to match get salts that no group has, many of them: empty pages stay spread
+    some = F.xxhash64("page_id", "url")
+    rows = rows.withColumn("salt", F.when(F.col("size") >= LEAST_PAYLOAD, F.pmod(some, F.lit(SALTS))).otherwise(F.pmod(some, F.lit(1_000_000)) + SALTS).cast("int"))
     joined = rows.join(groups, ["digest", "size", "salt"], "left")
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
