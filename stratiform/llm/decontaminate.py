@@ -2,11 +2,13 @@
 
 Words are runs of ASCII letters and digits and of characters from U+0080 on, A-Z in lower
 case. A window is ten consecutive words of an item; an item of fewer words is one window.
-The corpus is scanned as hashes of its windows, which meet the benchmark's hashes in a
-broadcast join; what is broadcast is one row a hash, and its bytes are added up first: above
-MAX_BYTES the same join is shuffled with a salt. Hits are then brought back to the texts,
-again as a broadcast if their bytes allow it, so that texts stay where they are, and verified
-word by word against them. DataFrame functions only.
+
+A benchmark of at most MAX_TABLE windows (counted first, with the bytes of its words)
+becomes a hash table inside the plan, which Spark hands to every executor once: each text's
+windows are looked up where the text lies and verified word by word against the items, in
+one pass without a shuffle. Above that, hashes of the corpus's windows meet the
+benchmark's in a join, salted against common passages, and hits are brought back to
+their texts by doc_id and text hash, as a broadcast if their bytes allow it. DataFrame functions only.
 
 Cases: null text has no words; null item text and items without words have no window; an
 empty table on either side gives no hits; repeated rows and doc_ids stay rows of their own
@@ -17,6 +19,7 @@ adds get names that are free.
 
 from __future__ import annotations
 
+import json
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,6 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .store import materialize
 
 WINDOW = 10
+#: Windows, and bytes of the items' words, of a benchmark that becomes a hash table in the plan.
+MAX_TABLE, MAX_TABLE_BYTES = 20_000, 1 << 20
+#: Slots of that table for each window.
+SPARE = 8
 #: Bytes of rows that may be broadcast (what Spark holds of them is a few times as much).
 MAX_BYTES = 16 << 20
 SALTS = 16
@@ -61,10 +68,66 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def window_key(w: Column, i: Column, size: int) -> Column:
+    """Hash of the first, middle and last word of the window that begins at place i (from 1); all words are compared after."""
+    return F.xxhash64(F.get(w, i - 1), F.get(w, i + (size // 2 - 1)), F.get(w, i + (size - 2)))
+
+
+def hash_table(benchmark: DataFrame) -> tuple[list[int], Column, Column, Column] | None:
+    """Sizes of windows, and as constants the items' words, their ids, and slots of
+    [item, place] by the windows' hashes; None if the benchmark is too large."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = materialize(items, "items")
+    size = F.least(F.size("w"), F.lit(WINDOW))
+    count, weight = items.agg(F.sum(F.size("w") - size + 1), F.sum(F.octet_length(F.array_join("w", ",")) + F.octet_length("item") + 16)).first()
+    if (count or 0) > MAX_TABLE or (weight or 0) > MAX_TABLE_BYTES:
+        return None
+    keys = [F.when(size == s, F.transform(F.sequence(F.lit(1), F.size("w") - (s - 1)), lambda i: window_key(F.col("w"), i, s))) for s in range(1, WINDOW + 1)]  # noqa: B023
+    rows = items.select("item", "w", size.alias("size"), F.coalesce(*keys).alias("h")).orderBy("item", "w").collect()
+    slots: list[list[tuple[int, int]]] = [[] for _ in range(SPARE * max(1, count or 0))]
+    for k, row in enumerate(rows):
+        for i, h in enumerate(row.h):
+            slots[h % len(slots)].append((k, i + 1))
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
+    return sorted({r["size"] for r in rows}), constant([r.w for r in rows], "array<array<string>>"), constant([r["item"] for r in rows], "array<string>"), constant(slots, "array<array<array<int>>>")
+
+
+def hits_in_place(w: Column, sizes: list[int], item_words: Column, item_ids: Column, slots: Column) -> Column:
+    """The hits among a text's words."""
+
+    def of_size(size: int) -> Column:
+        window = lambda i: F.slice(w, i, size)
+        slot = lambda i: F.get(slots, F.pmod(window_key(w, i, size), F.size(slots).cast("long")).cast("int"))
+        here = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        same = lambda i: lambda x: F.slice(F.get(item_words, x[0]), x[1], size) == window(i)
+        # an item of fewer words than WINDOW is met as a whole only
+        whole = lambda x: F.lit(True) if size == WINDOW else F.size(F.get(item_words, x[0])) == size
+        hit = lambda i: lambda x: F.struct((i - 1).alias("start"), F.lit(size).alias("size"), F.array(F.get(item_ids, x[0])).alias("items"))
+        some = F.filter(here, lambda i: F.size(slot(i)) > 0)
+        return F.flatten(F.transform(some, lambda i: F.transform(F.filter(slot(i), lambda x: whole(x) & same(i)(x)), hit(i))))
+
+    return F.sort_array(F.concat(*map(of_size, sizes)))
+
+
+NO_HITS = "array<struct<start:int,size:int,items:array<string>>>"
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str, str]:
     """The documents' columns and two more, and the names of those: the number of words (long),
     and the hits (array of start, size, items by start; start counts words from 0; null without hits)."""
     n_words, hits_at = free_name(docs.columns, "n_words"), free_name(docs.columns, "hits")
+    table = hash_table(benchmark)
+    if table is None:
+        return _find_by_join(docs, benchmark, n_words, hits_at), n_words, hits_at
+    sizes, *constants = table
+    made = free_name(docs.columns, "found")
+    found = lambda w: F.struct(F.size(w).cast("long").alias("n"), (hits_in_place(w, sizes, *constants) if sizes else F.array().cast(NO_HITS)).alias("hits"))
+    out = docs.withColumn(made, _let(words(F.col("text")), found))
+    out = out.withColumns({n_words: F.col(made)["n"], hits_at: F.when(F.size(F.col(made)["hits"]) > 0, F.col(made)["hits"])})
+    return out.drop(made), n_words, hits_at
+
+
+def _find_by_join(docs: DataFrame, benchmark: DataFrame, n_words: str, hits_at: str) -> DataFrame:
     own = "_own"
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
@@ -77,7 +140,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str, st
     base = base.withColumn(n_words, F.size(cut).cast("long")).drop(cut)
     sizes = sorted(sizes or [])
     if not sizes:
-        return base.withColumn(hits_at, F.lit(None).cast("array<struct<start:int,size:int,items:array<string>>>")), n_words, hits_at
+        return base.withColumn(hits_at, F.lit(None).cast(NO_HITS))
     key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias(doc), F.xxhash64("doc_id", "text").alias(tie)]
     # windows of all sizes in one array; a place in it tells size and start
     scan = docs.where(F.col("text").isNotNull()).select(*key, _let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), F.concat(*[_hashes(w, s) for s in sizes]).alias("h"))).alias("s"))
@@ -114,7 +177,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, str, st
     found = _let(words(F.col("text")), lambda w: F.filter(F.col(found_here), lambda x: F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["gram"]))
     verified = F.when(F.col(found_here).isNotNull(), F.sort_array(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["items"].alias("items")))))
     out = joined.withColumn(hits_at, verified).drop(found_here)
-    return out.withColumn(hits_at, F.when(F.size(hits_at) > 0, F.col(hits_at))), n_words, hits_at
+    return out.withColumn(hits_at, F.when(F.size(hits_at) > 0, F.col(hits_at)))
 
 
 def hit_words(hits: Column) -> Column:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import ship_package
-from .store import materialize, release
+from .store import broadcast_if_small, materialize, release
 from .textops import U, combine, mix, portions, shingle_sets
 
 FRAGMENTS = 8
@@ -234,8 +234,8 @@ def assigned(docs: DataFrame, k: int, percent: int) -> DataFrame:
     posts = materialize(posts.join(met, "key"), "posts")
     release(spark, keyed)
     some = materialize(posts.select("id").distinct(), "members")
-    wanted = classes.join(some, "id", "left_semi").select("id", "cls", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"))
-    sets = materialize(fragment_sets(docs, wanted, k), "fragments")
+    wanted = materialize(classes.join(some, "id", "left_semi").select("id", "cls", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie")), "wanted")
+    sets = materialize(fragment_sets(docs, broadcast_if_small(wanted, 64), k), "fragments")
     release(spark)
     # a set has at most in common with another what it does not have alone; without enough of that it has no link
     sizes = classes.join(some, "id", "left_semi").select("id", "n").join(unique_grams(sets, some), "id", "left")
@@ -303,9 +303,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.withColumn(mine, tie())
     same = lambda some: rows["doc_id"].cast("long").eqNullSafe(some["doc_id"]) & (rows[mine] == some["tie"])
     stays = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("tie") == F.col("rep.tie"))
-    gone = found.where(F.col("rep").isNotNull() & ~stays).select("doc_id", "tie").distinct()
+    gone = materialize(found.where(F.col("rep").isNotNull() & ~stays).select("doc_id", "tie").distinct(), "gone")
     repeated = found.where(F.col("rep").isNotNull() & stays).groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1")
     repeated = materialize(repeated.select("doc_id", "tie"), "repeated")
+    gone, repeated = broadcast_if_small(gone, 48), broadcast_if_small(repeated, 48)
     kept = rows.join(gone, same(gone), "left_anti")
     if repeated.isEmpty():
         return kept.select(*docs.columns)

@@ -15,7 +15,7 @@ import uuid
 from functools import lru_cache
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -51,6 +51,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Bytes of rows that may be broadcast; Spark holds a few times as much of them.
+MAX_BROADCAST = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """The table, marked for broadcast if its rows of so many bytes are few enough. It is
+    counted, so it should be a stored one."""
+    return F.broadcast(df) if df.count() * row_bytes <= MAX_BROADCAST else df
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete materialised tables that nothing will read again, and let Spark drop the
     shuffle files of DataFrames that are gone (it does so when their driver objects are collected)."""

@@ -363,7 +363,7 @@ def test_decontaminate(spark, docs, empty):
 
 
 def test_decontaminate_large_benchmark(spark, monkeypatch):
-    """The salted join gives what the broadcast join gives, and both what brute force gives."""
+    """Table in the plan, broadcast join and salted join give what brute force gives."""
     rng = random.Random(7)
     items = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (3, 10, 14, 25, 0)] + [None]
     texts = [None, "", *(" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(20)), *(f"x, {i}! {i} y" for i in items if i)]
@@ -379,6 +379,9 @@ def test_decontaminate_large_benchmark(spark, monkeypatch):
     assert {tuple(r) for r in found.select(*own).distinct().collect()} == {tuple(range(len(own)))}
     _, small = result(d)
     assert third == small
+    monkeypatch.setattr(decontaminate, "MAX_TABLE", 0)
+    found, joined = result(clash)
+    assert {tuple(r) for r in found.select(*own).distinct().collect()} == {tuple(range(len(own)))} and joined == small
     monkeypatch.setattr(decontaminate, "MAX_BYTES", 0)
     _, large = result(d)
     want = {}
