@@ -1,41 +1,66 @@
-"""Filters, projection, patching and validation of JSON documents, and full-text search."""
+"""Filters, projection, changes and validation of JSON documents, and full-text search.
+
+Values have JSON's types: text operators match strings alone, numbers compare with numbers of
+either kind, and a field that is missing is not one that is null.
+"""
 
 from __future__ import annotations
 
+import json
 import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _steps(dotted: str) -> str:
+    return "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in dotted.split("."))
+
+
 def path(doc: str, dotted: str) -> Column:
     """Text of the value at a dotted path; numbers index arrays."""
-    steps = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in dotted.split("."))
-    return F.get_json_object(F.col(doc), f"${steps}")
+    return F.get_json_object(F.col(doc), _steps(dotted))
+
+
+def value(doc: str, dotted: str) -> Column:
+    """The value as a variant; null where it is missing or the document is no JSON."""
+    return F.try_variant_get(F.try_parse_json(F.col(doc)), _steps(dotted), "variant")
+
+
+def kind(variant: Column) -> Column:
+    """string, int, float, bool, array, object or null; null where there is no value."""
+    t = F.schema_of_variant(variant)
+    whole = t.isin("BIGINT") | t.rlike(r"^DECIMAL\(\d+,0\)$")
+    out = F.when(t == "STRING", "string").when(whole, "int").when(t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"), "float").when(t == "BOOLEAN", "bool")
+    return out.when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").when(t == "VOID", "null")
 
 
 def exists(doc: str, dotted: str) -> Column:
     """True where the field is there, a null value included."""
-    *outer, name = dotted.split(".")
-    inside = F.get_json_object(F.col(doc), "$" + "".join(f".{p}" for p in outer)) if outer else F.col(doc)
-    return F.coalesce(F.array_contains(F.json_object_keys(inside), name), F.lit(False))
+    return kind(value(doc, dotted)).isNotNull()
 
 
-def _compare(value: Column, op: str, other: Any) -> Column:
+def _compare(doc: str, dotted: str, op: str, other: Any) -> Column:
+    v, text = value(doc, dotted), path(doc, dotted)
+    if other is None:
+        test = kind(v) == "null"
+        return F.coalesce(~test if op == "$ne" else test, F.lit(op == "$ne"))
     if isinstance(other, bool):
-        left, right = value, F.lit(str(other).lower())
+        fits, left, right = kind(v) == "bool", text, F.lit(str(other).lower())
     elif isinstance(other, (int, float)):
-        left, right = value.try_cast("double"), F.lit(float(other))
+        fits, left, right = kind(v).isin("int", "float"), text.try_cast("double"), F.lit(float(other))
     else:
-        left, right = value, F.lit(other)
+        fits, left, right = kind(v) == "string", text, F.lit(other)
     test = {"$eq": left == right, "$ne": left == right, "$gt": left > right, "$gte": left >= right, "$lt": left < right, "$lte": left <= right}[op]
-    test = F.coalesce(test, F.lit(False))
+    test = F.coalesce(fits & test, F.lit(False))
     return ~test if op == "$ne" else test
 
 
 def condition(doc: str, query: dict[str, Any]) -> Column:
     """A filter document as a two-valued column: $eq $ne $gt $gte $lt $lte $in $nin $exists
-    $regex $contains $startsWith $endsWith, $and $or $not; several operators are ANDed."""
+    $regex $contains $startsWith $endsWith, $and $or $not; several operators are ANDed. A field
+    that is missing passes $ne and $nin alone; $contains also finds a member of an array; a
+    pattern that is no regular expression matches nothing."""
     out = F.lit(True)
     for key, want in query.items():
         if key == "$and":
@@ -49,26 +74,32 @@ def condition(doc: str, query: dict[str, Any]) -> Column:
         elif key == "$not":
             out &= ~condition(doc, want)
         else:
-            v = path(doc, key)
             for op, x in (want if isinstance(want, dict) else {"$eq": want}).items():
-                false = lambda c: F.coalesce(c, F.lit(False))
+                v, text = value(doc, key), path(doc, key)
+                of_string = lambda test: F.coalesce((kind(v) == "string") & test, F.lit(False))  # noqa: B023, E731
                 if op in ("$in", "$nin"):
                     found = F.lit(False)
                     for item in x:
-                        found |= _compare(v, "$eq", item)
+                        found |= _compare(doc, key, "$eq", item)
                     out &= ~found if op == "$nin" else found
                 elif op == "$exists":
                     out &= exists(doc, key) if x else ~exists(doc, key)
                 elif op == "$regex":
-                    out &= false(v.rlike(x))
+                    try:
+                        re.compile(x)
+                        out &= of_string(text.rlike(x))
+                    except re.error:
+                        out &= F.lit(False)
                 elif op == "$contains":
-                    out &= false(v.contains(x))
+                    found = of_string(text.contains(x)) if isinstance(x, str) else F.lit(False)
+                    members = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda i: F.to_json(i))
+                    out &= found | F.coalesce(F.array_contains(members, json.dumps(x, ensure_ascii=False)), F.lit(False))
                 elif op == "$startsWith":
-                    out &= false(v.startswith(x))
+                    out &= of_string(text.startswith(x))
                 elif op == "$endsWith":
-                    out &= false(v.endswith(x))
+                    out &= of_string(text.endswith(x))
                 else:
-                    out &= _compare(v, op, x)
+                    out &= _compare(doc, key, op, x)
     return out
 
 
@@ -84,42 +115,172 @@ def find(docs: DataFrame, doc: str, query: dict[str, Any], sort: list[Column] |
     return out.select("*", *[path(doc, p).alias(n) for n, p in project.items()]).drop(doc) if project else out
 
 
+class DocQuery:
+    """Builds a filter document: `DocQuery().eq("a", 1).gt("b", 2).sort(...).limit(5).run(docs, "doc")`."""
+
+    def __init__(self):
+        self._and: list[dict] = []
+        self._sort, self._skip, self._limit, self._project = [], 0, None, None
+
+    def _add(self, field: str, op: str, x: Any) -> "DocQuery":
+        self._and.append({field: {op: x}})
+        return self
+
+    def __getattr__(self, name: str):
+        op = {"in_": "$in", "starts_with": "$startsWith", "ends_with": "$endsWith"}.get(name, f"${name}")
+        if op not in ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$exists", "$regex", "$contains", "$startsWith", "$endsWith"):
+            raise AttributeError(name)
+        return lambda field, x=True: self._add(field, op, x)
+
+    def any_of(self, *queries: "DocQuery") -> "DocQuery":
+        self._and.append({"$or": [q.filter() for q in queries]})
+        return self
+
+    def all_of(self, *queries: "DocQuery") -> "DocQuery":
+        self._and += [q.filter() for q in queries]
+        return self
+
+    def none_of(self, query: "DocQuery") -> "DocQuery":
+        self._and.append({"$not": query.filter()})
+        return self
+
+    def sort(self, *columns: Column) -> "DocQuery":
+        self._sort += columns
+        return self
+
+    def skip(self, n: int) -> "DocQuery":
+        self._skip = n
+        return self
+
+    def limit(self, n: int) -> "DocQuery":
+        self._limit = n
+        return self
+
+    def project(self, **fields: str) -> "DocQuery":
+        self._project = fields
+        return self
+
+    def filter(self) -> dict:
+        return {"$and": self._and}
+
+    def run(self, docs: DataFrame, doc: str) -> DataFrame:
+        return find(docs, doc, self.filter(), self._sort, self._skip, self._limit, self._project)
+
+
 def patch(doc: str, changes: dict[str, Column]) -> Column:
-    """Shallow merge into the top level of a flat JSON object: new values replace old ones."""
-    base = F.from_json(F.col(doc), "map<string,string>")
+    """Shallow merge into the top level of a JSON object: new values replace old ones, all keep their types."""
+    base = F.from_json(F.col(doc), "map<string,variant>")
     kept = F.map_filter(base, lambda k, v: ~k.isin(*changes))
-    return F.to_json(F.map_concat(kept, F.create_map(*[c for k, v in changes.items() for c in (F.lit(k), v.cast("string"))])))
+    return F.to_json(F.map_concat(kept, F.create_map(*[c for k, v in changes.items() for c in (F.lit(k), v.cast("variant"))])))
 
 
-def errors(doc: str, rules: dict[str, dict[str, Any]]) -> Column:
-    """Messages of the broken rules: required, type (number, string), min, max, max_length, pattern, enum."""
-    found = []
-    for field, rule in rules.items():
-        v = path(doc, field)
-        number = v.try_cast("double")
-        checks = {
-            "required": lambda x: v.isNull(),
-            "type": lambda x: v.isNotNull() & number.isNull() if x == "number" else F.lit(False),
-            "min": lambda x: number < x,
-            "max": lambda x: number > x,
-            "max_length": lambda x: F.octet_length(v) > x,
-            "pattern": lambda x: ~v.rlike(x),
-            "enum": lambda x: ~v.isin(*x),
-        }
-        found += [F.when(F.coalesce(checks[name](x), F.lit(False)), F.lit(f"{field}: {name}")) for name, x in rule.items() if name != "required" or x]
+def insert(docs: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with the new ones, and the new ones that are refused as their id is taken
+    (of new ones with one id, the first by their text is taken)."""
+    taken = docs.select(key)
+    order = F.struct(*[c for c in new.columns if c != key])
+    first = new.groupBy(key).agg(F.min(order).alias("_row")).select(key, "_row.*").select(*new.columns)
+    good = first.join(taken, key, "left_anti")
+    return docs.unionByName(good), new.exceptAll(good)
+
+
+def replace(docs: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with those of the same id replaced, and the new ones that have nothing to replace."""
+    known = new.join(docs.select(key), key, "left_semi")
+    return docs.join(known, key, "left_anti").unionByName(known), new.join(docs.select(key), key, "left_anti")
+
+
+def delete(docs: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The documents without those ids, and the ids that were not there."""
+    return docs.join(ids, key, "left_anti"), ids.join(docs.select(key), key, "left_anti")
+
+
+def errors(doc: str, rules: dict[str, dict[str, Any]], additional: bool = True) -> Column:
+    """Messages `field: rule` of the broken rules of each field: required; type (string, int,
+    float, number, bool, array, object); nullable (false: a null is an error); min, max of numbers;
+    min_length, max_length in bytes of strings and items of arrays; pattern; enum; items (type of
+    all items); properties (rules of an object's fields). Rules other than required hold for fields that are
+    there; those of a type hold for values of that type. Without `additional`, other fields of the document are errors."""
+    found = _messages(doc, rules, "")
+    if not additional:
+        extra = F.filter(F.json_object_keys(F.col(doc)), lambda key: ~key.isin(*rules))
+        found.append(F.when(F.size(extra) > 0, F.concat(F.lit("additional: "), F.array_join(F.array_sort(extra), " "))))
     return F.filter(F.array(*found), lambda e: e.isNotNull())
 
 
+def _messages(doc: str, rules: dict[str, dict[str, Any]], at: str) -> list[Column]:
+    """A message or null for each rule."""
+    found: list[Column] = []
+    for field, rule in rules.items():
+        name = f"{at}{field}"
+        v, text = value(doc, name), path(doc, name)
+        k = kind(v)
+        length = F.when(k == "string", F.octet_length(text)).when(k == "array", F.size(F.try_variant_get(v, "$", "array<variant>")))
+        number = F.when(k.isin("int", "float"), text.try_cast("double"))
+        fits = lambda k, t: k.isin("int", "float") if t == "number" else k == t
+        for test, x in rule.items():
+            if test == "properties":
+                found += _messages(doc, x, f"{name}.")
+                continue
+            broken = {
+                "required": lambda x: k.isNull() if x else F.lit(False),  # noqa: B023
+                "type": lambda x: k.isNotNull() & (k != "null") & ~fits(k, x),  # noqa: B023
+                "nullable": lambda x: k == "null" if not x else F.lit(False),  # noqa: B023
+                "min": lambda x: number < x,  # noqa: B023
+                "max": lambda x: number > x,  # noqa: B023
+                "min_length": lambda x: length < x,  # noqa: B023
+                "max_length": lambda x: length > x,  # noqa: B023
+                "pattern": lambda x: (k == "string") & ~text.rlike(x),  # noqa: B023
+                "enum": lambda x: k.isNotNull() & ~F.to_json(v).isin(*[json.dumps(i, ensure_ascii=False) for i in x]),  # noqa: B023
+                "items": lambda x: F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda i: ~fits(kind(i), x)),  # noqa: B023
+            }[test](x)
+            found.append(F.when(F.coalesce(broken, F.lit(False)), F.lit(f"{name}: {test}")))
+    return found
+
+
 def terms(text: Column) -> Column:
     """Lower-case alphanumeric runs of two bytes or more."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.octet_length(t) >= 2)
 
 
+def wanted_terms(query: str) -> list[str]:
+    return sorted({t for t in re.split(r"[^\w]+|_", query.lower()) if len(t.encode()) >= 2})
+
+
 def search(docs: DataFrame, text: str, query: str, every: bool = True) -> DataFrame:
-    """Documents with all (or any) of the query's terms."""
-    wanted = [t for t in re.split(r"[^\w]+|_", query.lower()) if len(t.encode()) >= 2]
-    tokens = terms(F.col(text))
-    hit = F.lit(every)
+    """Documents with all (or any) of the query's terms; none for a query without terms."""
+    wanted = wanted_terms(query)
+    if not wanted:
+        return docs.where(F.lit(False))
+    # a term's text stands in the lower-cased document, which is cheaper to see than its terms
+    low, tokens = F.lower(F.col(text)), terms(F.col(text))
+    near, hit = F.lit(every), F.lit(every)
     for t in wanted:
+        near = near & low.contains(t) if every else near | low.contains(t)
         hit = hit & F.array_contains(tokens, t) if every else hit | F.array_contains(tokens, t)
-    return docs.where(hit)
+    return docs.where(F.when(near, hit).otherwise(F.lit(False)))
+
+
+def term_counts(text: Column) -> Column:
+    """Distinct terms of a text with their numbers, as an array of (term, n): the sorted terms' runs."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.coalesce(F.get(s, i - 1), F.lit(""))))
+        counted = lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("n")))
+        return F.transform(F.array(begins), counted)[0]
+
+    none = F.array().cast("array<struct<term:string,n:bigint>>")
+    return F.transform(F.array(F.array_sort(F.coalesce(terms(text), F.array().cast("array<string>")))), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))[0]
+
+
+def inverted_index(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(term, key, n): the postings; write them partitioned or bucketed by term to search them again and again."""
+    return docs.select(key, F.explode(term_counts(F.col(text))).alias("t")).select("t.term", key, "t.n")
+
+
+def search_index(index: DataFrame, key: str, query: str, every: bool = True) -> DataFrame:
+    """Keys of the documents with all (or any) of the query's terms, from the postings alone."""
+    wanted = wanted_terms(query)
+    met = index.where(F.col("term").isin(wanted)) if wanted else index.where(F.lit(False))
+    out = met.groupBy(key).agg(F.count("*").alias("n"))
+    return out.where(F.col("n") == len(wanted)).select(key) if every else out.select(key)

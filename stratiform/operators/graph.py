@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def create_nodes(nodes: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """The nodes with new ones (label, and a column that orders them): ids are `label:n`, n counting on within a label."""
+    from pyspark.sql import Window
+
+    last = nodes.groupBy("label").agg(F.max(F.substring_index("id", ":", -1).try_cast("long")).alias("last"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(order))
+    made = new.withColumn("place", place).join(last, "label", "left")
+    made = made.select(F.concat(F.lower("label"), F.lit(":"), F.coalesce(F.col("last"), F.lit(0)) + F.col("place")).alias("id"), "label")
+    return nodes.select("id", "label").unionByName(made)
+
+
+def create_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges with those new ones whose ends exist, and the refused ones."""
+    ids = nodes.select("id").distinct()
+    good = new.join(ids, new["source"] == ids["id"], "left_semi").join(ids, new["target"] == ids["id"], "left_semi")
+    return edges.unionByName(good), new.exceptAll(good)
+
+
 def find_label(nodes: DataFrame, label: str) -> DataFrame:
     return nodes.where(F.lower("label") == label.lower())
 

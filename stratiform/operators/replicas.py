@@ -24,6 +24,24 @@ def last_writer(states: DataFrame, key: str, value: str, ts: str, node: str) ->
     return states.groupBy(key).agg(F.max_by(value, F.struct(ts, node)).alias(value))
 
 
+def or_set(states: DataFrame) -> DataFrame:
+    """Elements (id, e) of observed-remove sets after a merge of replicas' states (id, replica,
+    e, tag, removed): tags are united, and an element is live while any replica holds a tag of
+    it. A replica's remove drops the tags that it has seen; tags that another replica still holds come back."""
+    dropped = states.where("removed").select("id", "replica", "e", "tag").distinct()
+    held = states.where("NOT removed").join(dropped, ["id", "replica", "e", "tag"], "left_anti")
+    return held.groupBy("id", "e").agg(F.countDistinct("tag").alias("tags"))
+
+
+def multi_value(states: DataFrame, clock: str = "clock") -> DataFrame:
+    """Versions (id, value, clock as map node -> counter) that no other version of their id dominates."""
+    keyed = states.withColumn("_c", F.array_sort(F.map_entries(F.map_filter(clock, lambda k, v: v > 0))))
+    one = keyed.groupBy("id", "value", "_c").agg(F.first(clock).alias(clock))
+    a, b = one.alias("a"), one.alias("b")
+    beaten = (F.col("a.id") == F.col("b.id")) & (clock_compare(F.col(f"a.{clock}"), F.col(f"b.{clock}")) == "before")
+    return a.join(b, beaten, "left_anti").select("id", "value", clock)
+
+
 def clock_merge(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda k, x, y: F.greatest(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
 

@@ -40,12 +40,26 @@ def downsample(points: DataFrame, series: list[str], interval: str, how: str, va
     return points.groupBy(*series, bucket).agg(AGGREGATES[how](F.col(value), order).alias("value"))
 
 
+#: A rolling window's rows are dealt by stretches of time this many times the window's length.
+STRETCH = 24
+
+
 def rolling(points: DataFrame, series: list[str], interval: str, how: str, value: str = "value", ts: str = "ts") -> DataFrame:
-    """Aggregate of the points of the last interval, both ends included."""
-    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
+    """Aggregate of the points of the last interval, both ends included.
+
+    A series is cut into stretches of time; a stretch also gets the last interval of the one
+    before, so that a long series is many tasks.
+    """
     length = int(interval.split()[0]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[interval.split()[1].rstrip("s")] * 1_000_000
-    frame = Window.partitionBy(*series).orderBy(seconds).rangeBetween(-length, 0)
-    return points.withColumn("rolled", AGGREGATES[how](F.col(value), F.col(ts)).over(frame))
+    own = "_" + "_".join(points.columns)
+    us, part, mine = own + "us", own + "part", own + "mine"
+    rows = points.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(part, F.floor(F.col(us) / (STRETCH * length)))
+    late = F.col(us) >= (F.col(part) + 1) * (STRETCH * length) - length
+    copies = F.when(late, F.array(F.col(part), F.col(part) + 1)).otherwise(F.array(F.col(part)))
+    rows = rows.select(*points.columns, us, F.posexplode(copies).alias(mine, part))
+    frame = Window.partitionBy(*series, part).orderBy(us).rangeBetween(-length, 0)
+    out = rows.withColumn("rolled", AGGREGATES[how](F.col(value), F.col(ts)).over(frame))
+    return out.where(F.col(mine) == 0).drop(us, part, mine)
 
 
 def instant(points: DataFrame, series: list[str], how: str, value: str = "value", ts: str = "ts", tie: str | None = None) -> DataFrame:

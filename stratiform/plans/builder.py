@@ -44,6 +44,9 @@ class Query:
         self.conditions.append(F.col(column).between(low, high))
         return self
 
+    def where_like(self, column: str, pattern: str) -> "Query":
+        return self.where(column, "like", pattern)
+
     def or_where(self, column: str, op: str, value: Any) -> "Query":
         """ORed with the last condition."""
         self.conditions.append(self.conditions.pop() | OPERATORS[op.lower()](F.col(column), value))
@@ -106,3 +109,74 @@ class Query:
 
     def pluck(self, column: str) -> list:
         return [r[0] for r in self.build().select(column).collect()]
+
+    def to_dicts(self) -> list[dict]:
+        return [r.asDict() for r in self.build().collect()]
+
+    def to_dataframe(self):
+        """The rows as a pandas DataFrame."""
+        return self.build().toPandas()
+
+
+def _literal(value: Any) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, (int, float)):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "''") + "'"
+
+
+class Statement:
+    """INSERT, UPDATE and DELETE over a Database: `insert_into("t").columns("a").values(1).run(db)`,
+    `update("t").set(a=1).where("b", "=", 2).run(db)`, `delete_from("t").where("b", "=", 2).run(db)`."""
+
+    def __init__(self, kind: str, table: str):
+        self.kind, self.table = kind, table
+        self.names: list[str] = []
+        self.rows: list[tuple] = []
+        self.changes: dict[str, Any] = {}
+        self.conditions: list[str] = []
+
+    def columns(self, *names: str) -> "Statement":
+        self.names += names
+        return self
+
+    def values(self, *row: Any) -> "Statement":
+        self.rows.append(row)
+        return self
+
+    def set(self, **changes: Any) -> "Statement":
+        self.changes |= changes
+        return self
+
+    def where(self, column: str, op: str, value: Any) -> "Statement":
+        if op.lower() not in OPERATORS:
+            raise ValueError(f"unknown operator {op}")
+        self.conditions.append(f"`{column}` {op} {_literal(value)}")
+        return self
+
+    def text(self) -> str:
+        if self.kind == "insert":
+            listed = f" ({', '.join(self.names)})" if self.names else ""
+            return f"INSERT INTO {self.table}{listed} VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
+        where = f" WHERE {' AND '.join(self.conditions)}" if self.conditions else ""
+        if self.kind == "update":
+            return f"UPDATE {self.table} SET " + ", ".join(f"{c} = {_literal(v)}" for c, v in self.changes.items()) + where
+        return f"DELETE FROM {self.table}{where}"
+
+    def run(self, database) -> DataFrame:
+        return database.execute(self.text())
+
+
+def insert_into(table: str) -> Statement:
+    return Statement("insert", table)
+
+
+def update(table: str) -> Statement:
+    return Statement("update", table)
+
+
+def delete_from(table: str) -> Statement:
+    return Statement("delete", table)

@@ -37,4 +37,4 @@ def revenue_by_nation(spark, d):
     return out.where("n_lines >= 2").orderBy(F.desc("revenue"), "n_name", "o_orderpriority").limit(100)
 
 
-from . import models, relational  # noqa: E402,F401  registers their queries
+from . import models, relational, stores  # noqa: E402,F401  registers their queries

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import documents, graph, replicas, timeseries as ts
+from ..functions import json_contains
+from ..operators import audit, dml, documents, graph, quantiles, replicas, timeseries as ts
 from ..sources.tables import load, run_sql
 from ..streaming import pipeline
 from .catalog import query
@@ -102,7 +103,8 @@ def ts_latest(spark, d):
 
 @query("ts_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 8) AS p50, round(quantile_cont(value, 0.9), 8) AS p90, round(quantile_cont(value, 0.99), 8) AS p99 FROM events GROUP BY event_type")
 def ts_percentiles(spark, d):
-    return events(spark, d).groupBy("event_type").agg(*[F.round(F.percentile("value", p / 100), 8).alias(f"p{p}") for p in (50, 90, 99)])
+    out = quantiles.interpolated(events(spark, d), ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return out.select("event_type", *[F.round(p, 8).alias(p) for p in ("p50", "p90", "p99")])
 
 
 @query("ts_aggregate", "SELECT round(avg(value), 8) AS value FROM events WHERE event_type = 'purchase'")
@@ -137,15 +139,27 @@ def ts_retention_tiers(spark, d):
     return events(spark, d).join(F.broadcast(last)).select("event_id", ts.retention_tier(age, [("raw", 24), ("hourly", 168), ("daily", 720)]).alias("tier"))
 
 
+#: Documents with fields of all types: k a number, t a string, m a number or the same as a string, tags, an object, a null.
+_DOC = "concat('{\"k\":', k, ',\"t\":\"', event_type, '\",\"m\":', CASE WHEN event_id % 2 = 0 THEN CAST(k AS STRING) ELSE concat('\"', k, '\"') END, ',\"tags\":[\"', event_type, '\",', k, '],\"o\":{\"n\":', k, ',\"s\":\"x', k, '\"},\"none\":null}')"
+
+
+def typed(spark, d):
+    return events(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("doc", F.expr(_DOC))
+
+
 DOC = {
     "doc_eq": ({"k": 5}, "k = 5"),
+    "doc_eq_types": ({"$or": [{"m": "5"}, {"m": 7}]}, "event_id % 2 = 1 AND k = 5 OR event_id % 2 = 0 AND k = 7"),
     "doc_ne": ({"k": {"$ne": 5}}, "coalesce(k <> 5, true)"),
     "doc_range": ({"k": {"$gte": 10, "$lt": 20}}, "k >= 10 AND k < 20"),
+    "doc_range_types": ({"m": {"$gt": 10}, "t": {"$lt": "p"}}, "event_id % 2 = 0 AND k > 10 AND event_type < 'p'"),
     "doc_in_nin": ({"k": {"$in": [1, 2, 3], "$nin": [2]}}, "k IN (1, 3)"),
-    "doc_exists": ({"k": {"$exists": True}, "z": {"$exists": False}}, "k IS NOT NULL"),
-    "doc_regex": ({"k": {"$regex": "^1"}}, "CAST(k AS VARCHAR) LIKE '1%'"),
-    "doc_contains": ({"k": {"$contains": "3"}}, "CAST(k AS VARCHAR) LIKE '%3%'"),
-    "doc_string_match": ({"k": {"$startsWith": "2", "$endsWith": "7"}}, "CAST(k AS VARCHAR) LIKE '2%' AND CAST(k AS VARCHAR) LIKE '%7'"),
+    "doc_exists": ({"k": {"$exists": True}, "none": {"$exists": True}, "z": {"$exists": False}}, "k IS NOT NULL"),
+    "doc_regex": ({"$or": [{"t": {"$regex": "^s.g"}}, {"m": {"$regex": "^1"}}, {"k": {"$regex": "^1"}}]}, "event_type = 'signup' OR event_id % 2 = 1 AND CAST(k AS VARCHAR) LIKE '1%'"),
+    "doc_contains": ({"$or": [{"t": {"$contains": "rcha"}}, {"m": {"$contains": "3"}}, {"tags": {"$contains": 9}}, {"k": {"$contains": "4"}}]}, "event_type = 'purchase' OR event_id % 2 = 1 AND CAST(k AS VARCHAR) LIKE '%3%' OR k = 9"),
+    "doc_array_member": ({"tags": {"$contains": "view"}}, "event_type = 'view'"),
+    "doc_string_match": ({"$or": [{"t": {"$startsWith": "cl", "$endsWith": "ck"}}, {"m": {"$startsWith": "2", "$endsWith": "7"}}]}, "event_type = 'click' OR event_id % 2 = 1 AND CAST(k AS VARCHAR) LIKE '2%' AND CAST(k AS VARCHAR) LIKE '%7'"),
+    "doc_nested": ({"o.n": {"$gt": 30}, "o.s": {"$ne": "x33"}, "tags.1": {"$lt": 40}}, "k > 30 AND k <> 33 AND k < 40"),
     "doc_logical": ({"$or": [{"k": 1}, {"$and": [{"k": {"$gt": 40}}, {"$not": {"k": 42}}]}]}, "k = 1 OR (k > 40 AND k <> 42)"),
     "doc_multi_op": ({"k": {"$gt": 3, "$ne": 6, "$lt": 9}}, "k > 3 AND k <> 6 AND k < 9"),
 }
@@ -155,7 +169,7 @@ _K = "(SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM eve
 def _doc(name: str, q: dict, sql: str) -> None:
     @query(name, f"SELECT event_id FROM {_K} WHERE {sql}")
     def run(spark, d):
-        return documents.find(events(spark, d), "props", q).select("event_id")
+        return documents.find(typed(spark, d), "doc", q).select("event_id")
 
 
 for _name, (_q, _sql) in DOC.items():
@@ -187,9 +201,11 @@ def doc_project(spark, d):
     return documents.find(events(spark, d).select("event_id", "props"), "props", {"k": 9}, project={"key": "k"})
 
 
-@query("doc_patch", f"SELECT event_id, CAST(k AS VARCHAR) AS k, event_type AS t FROM {_K}")
+@query("doc_patch", f"SELECT event_id, CAST(k AS VARCHAR) AS k, event_type AS t, 'int' AS kind, 'string' AS t_kind FROM {_K}")
 def doc_patch(spark, d):
-    return events(spark, d).select("event_id", documents.patch("props", {"t": F.col("event_type")}).alias("p")).select("event_id", documents.path("p", "k").alias("k"), documents.path("p", "t").alias("t"))
+    p = events(spark, d).select("event_id", documents.patch("props", {"t": F.col("event_type")}).alias("p"))
+    kinds = [documents.kind(documents.value("p", f)).alias(n) for f, n in (("k", "kind"), ("t", "t_kind"))]
+    return p.select("event_id", documents.path("p", "k").alias("k"), documents.path("p", "t").alias("t"), *kinds)
 
 
 RULES = {"k": {"required": True, "type": "number", "min": 10, "max": 40}, "name": {"required": True}}
@@ -200,6 +216,19 @@ def doc_validate(spark, d):
     return events(spark, d).select("event_id", F.array_join(documents.errors("props", RULES), ",").alias("errors"))
 
 
+TYPE_RULES = {
+    "m": {"type": "int"}, "t": {"type": "string", "min_length": 5, "max_length": 6, "enum": ["click", "error", "signup", "view"]},
+    "tags": {"type": "array", "max_length": 2, "items": "string"}, "o": {"type": "object", "properties": {"n": {"max": 40}, "s": {"pattern": "^x[12]"}}},
+    "none": {"nullable": False},
+}
+
+
+@query("doc_validate_types", f"""SELECT event_id, concat_ws(',', CASE WHEN event_id % 2 = 1 THEN 'm: type' END, CASE WHEN length(event_type) < 5 THEN 't: min_length' END, CASE WHEN length(event_type) > 6 THEN 't: max_length' END,
+  CASE WHEN event_type = 'purchase' THEN 't: enum' END, 'tags: items', CASE WHEN k > 40 THEN 'o.n: max' END, CASE WHEN NOT (CAST(k AS VARCHAR) LIKE '1%' OR CAST(k AS VARCHAR) LIKE '2%') THEN 'o.s: pattern' END, 'none: nullable', 'additional: k') AS errors FROM {_K}""")
+def doc_validate_types(spark, d):
+    return typed(spark, d).select("event_id", F.array_join(documents.errors("doc", TYPE_RULES, additional=False), ",").alias("errors"))
+
+
 @query("doc_validate_all", f"SELECT event_id FROM {_K} WHERE k > 40")
 def doc_validate_all(spark, d):
     return events(spark, d).where(F.size(documents.errors("props", {"k": {"max": 40}})) > 0).select("event_id")
@@ -220,9 +249,16 @@ def fts_search_any(spark, d):
 
 @query("fts_term_stats", f"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY term")
 def fts_term_stats(spark, d):
-    each = load(spark, d, "documents").select("doc_id", F.explode(documents.terms(F.col("text"))).alias("term"))
-    per = each.groupBy("term", "doc_id").agg(F.count("*").alias("c"))
-    return per.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("c").alias("n"))
+    # terms are counted inside the row, so that one shuffle adds up distinct terms
+    each = documents.inverted_index(load(spark, d, "documents"), "text", "doc_id")
+    return each.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
+
+
+@query("fts_index_search", f"SELECT doc_id FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE list_contains(t, 'the') AND list_contains(t, 'with') UNION ALL SELECT -doc_id FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE list_contains(t, 'der') OR list_contains(t, 'que')")
+def fts_index_search(spark, d):
+    index = documents.inverted_index(load(spark, d, "documents"), "text", "doc_id")
+    either = documents.search_index(index, "doc_id", "der que", every=False).select((-F.col("doc_id")).alias("doc_id"))
+    return documents.search_index(index, "doc_id", "The, with!").union(either).union(documents.search_index(index, "doc_id", " - "))
 
 
 @query("kv_prefix_list", "SELECT c_name AS k, c_acctbal AS v FROM customer WHERE starts_with(c_name, 'Customer#00000001') ORDER BY k LIMIT 10")
@@ -374,12 +410,15 @@ def crdt_lww(spark, d):
     return replicas.last_writer(events(spark, d), "user_id", "value", "ts", "event_id")
 
 
-@query("crdt_orset", "SELECT l_suppkey AS id, l_returnflag AS e, count(DISTINCT l_orderkey) AS tags FROM lineitem GROUP BY ALL")
+@query("crdt_orset", """WITH s AS (SELECT l_suppkey AS id, l_linenumber % 2 AS replica, l_returnflag AS e, l_orderkey % 50 AS tag, l_quantity < 25 AS removed FROM lineitem),
+h AS (SELECT DISTINCT * FROM s WHERE NOT removed AND NOT EXISTS (SELECT 1 FROM s r WHERE r.removed AND r.id = s.id AND r.replica = s.replica AND r.e = s.e AND r.tag = s.tag))
+SELECT id, e, count(DISTINCT tag) AS tags FROM h GROUP BY id, e""")
 def crdt_orset(spark, d):
-    return load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("e")).agg(F.countDistinct("l_orderkey").alias("tags"))
+    states = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), (F.col("l_linenumber") % 2).alias("replica"), F.col("l_returnflag").alias("e"), (F.col("l_orderkey") % 50).alias("tag"), (F.col("l_quantity") < 25).alias("removed"))
+    return replicas.or_set(states)
 
 
-@query("crdt_mv", "SELECT DISTINCT l_suppkey AS id, q, t FROM (SELECT l_suppkey, l_quantity AS q, l_tax AS t FROM lineitem WHERE l_suppkey <= 20) a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_suppkey = a.l_suppkey AND b.l_quantity >= q AND b.l_tax >= t AND (b.l_quantity > q OR b.l_tax > t))")
+@query("crdt_mv", "SELECT id, q, t FROM (SELECT id, q, t, max(t) OVER (PARTITION BY id ORDER BY q DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM (SELECT l_suppkey AS id, l_quantity AS q, max(l_tax) AS t FROM lineitem GROUP BY ALL)) WHERE above IS NULL OR t > above")
 def crdt_mv(spark, d):
     # versions under two-node clocks (quantity, tax): greatest tax per quantity, then the running maximum from above
     v = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_quantity").alias("q")).agg(F.max("l_tax").alias("t"))
@@ -401,11 +440,7 @@ def partition_assign(spark, d):
 
 @query("latency_percentiles", "SELECT event_type, s[least(CAST(trunc(n * 0.5) AS INTEGER), n - 1) + 1] AS p50, s[least(CAST(trunc(n * 0.9) AS INTEGER), n - 1) + 1] AS p90, s[least(CAST(trunc(n * 0.99) AS INTEGER), n - 1) + 1] AS p99 FROM (SELECT event_type, list_sort(list(value)) AS s, CAST(count(value) AS INTEGER) AS n FROM events GROUP BY event_type)")
 def latency_percentiles(spark, d):
-    # nearest rank by row number, so that no group is gathered into one value
-    w = Window.partitionBy("event_type")
-    r = events(spark, d).where("value IS NOT NULL").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
-    pick = lambda q: F.max(F.when(F.col("r") == F.least((F.col("n") * q).cast("long"), F.col("n") - 1) + 1, F.col("value")))
-    return r.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.9).alias("p90"), pick(0.99).alias("p99"))
+    return quantiles.nearest_rank(events(spark, d), ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 @query("metric_histogram", "SELECT event_type, " + ", ".join(f"CAST(sum(CASE WHEN value <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS le_{b}" for b in (5, 10, 25, 50, 100)) + " FROM events GROUP BY event_type")
@@ -419,10 +454,16 @@ def query_stats(spark, d):
     return events(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.count("*") / span, 8).alias("per_second"))
 
 
-@query("metric_summary", "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 1000 GROUP BY event_type")
+_RANK = "s[least(CAST(trunc(len(s) * {q}) AS INTEGER), len(s) - 1) + 1] AS p{n}"
+
+
+@query("metric_summary", "SELECT event_type, n, total, " + ", ".join(_RANK.format(q=q, n=int(q * 100)) for q in (0.5, 0.9, 0.95, 0.99)) + " FROM (SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, list_sort(list(value) FILTER (rn <= 1000 AND value IS NOT NULL)) AS s FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) GROUP BY event_type)")
 def metric_summary(spark, d):
+    """All samples count, the last 1000 make the quantiles."""
+    every = events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
     last = ts.limit_per_series(events(spark, d), ["event_type"], 1000, F.desc("ts"), F.desc("event_id"))
-    return last.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    sample = last.groupBy("event_type").agg(F.sort_array(F.collect_list("value")).alias("s"))
+    return every.join(sample, "event_type").select("event_type", "n", "total", *[replicas.nearest_rank(F.col("s"), q).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)])
 
 
 @query("activity_by_type", "SELECT event_id FROM events WHERE event_type = 'signup' ORDER BY ts DESC, event_id DESC LIMIT 15")
@@ -430,13 +471,31 @@ def activity_by_type(spark, d):
     return events(spark, d).where("event_type = 'signup'").orderBy(F.desc("ts"), F.desc("event_id")).limit(15).select("event_id")
 
 
-_CHAIN = "SELECT event_id, lag(h) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, h FROM (SELECT *, sha256(CAST(event_id AS VARCHAR)) AS h FROM events)"
+#: A chain per user over its events, written whole; then payloads of some entries are changed and other entries taken out.
+_LOG = "SELECT user_id, event_id, CAST(event_id AS VARCHAR) || event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events"
+
+
+def tampered_log(spark, d):
+    rows = run_sql(spark, d, _LOG.replace("VARCHAR", "STRING"))
+    entries = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("seq", "payload", "event_id"))).alias("e"))
+    none = F.expr("cast(array() as array<struct<seq:int,event_id:bigint,payload:string,prev_hash:string,hash:string>>)")
 
+    def step(acc, x):
+        entry = F.struct(x["seq"].alias("seq"), x["event_id"].alias("event_id"), x["payload"].alias("payload"), acc["prev"].alias("prev_hash"), audit.entry_hash(acc["prev"], x["payload"]).alias("hash"))
+        return F.struct(entry["hash"].alias("prev"), F.concat(acc["out"], F.array(entry)).alias("out"))
 
-@query("audit_chain_verify", f"SELECT event_id, coalesce(prev, 'genesis') AS prev_hash FROM ({_CHAIN})")
+    chained = entries.select("user_id", F.explode(F.aggregate("e", F.struct(F.lit(audit.GENESIS).alias("prev"), none.alias("out")), step)["out"]).alias("x")).select("user_id", "x.*")
+    changed = chained.withColumn("payload", F.when(F.col("event_id") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    relinked = changed.withColumn("prev_hash", F.when(F.col("event_id") % 89 == 1, "0").otherwise(F.col("prev_hash")))
+    return relinked.where("event_id % 101 <> 2")
+
+
+@query("audit_chain_verify", f"""WITH l AS ({_LOG}), kept AS (SELECT * FROM l WHERE event_id % 101 <> 2),
+f AS (SELECT user_id, min(seq) AS first FROM kept GROUP BY user_id)
+SELECT user_id, event_id, fault FROM (SELECT k.user_id, k.event_id, CASE WHEN event_id % 97 = 0 OR event_id % 89 = 1 THEN 'hash' WHEN seq = first AND first > 0 THEN 'start' WHEN seq > first AND NOT EXISTS (SELECT 1 FROM kept b WHERE b.user_id = k.user_id AND b.seq = k.seq - 1) THEN 'gap' END AS fault
+FROM kept k JOIN f ON k.user_id = f.user_id) WHERE fault IS NOT NULL""")
 def audit_chain_verify(spark, d):
-    h = events(spark, d).withColumn("h", F.sha2(F.col("event_id").cast("string"), 256))
-    return h.select("event_id", F.coalesce(F.lag("h").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit("genesis")).alias("prev_hash"))
+    return audit.verify(tampered_log(spark, d), "user_id", audit.GENESIS).select("user_id", "event_id", "fault")
 
 
 @query("audit_export", "SELECT event_id, user_id FROM events WHERE user_id = 7 ORDER BY event_id LIMIT 10 OFFSET 2")
@@ -468,10 +527,18 @@ def do_not_sell(spark, d):
 
 @query("subject_match", f"SELECT 'events' AS store, CAST(event_id AS VARCHAR) AS id FROM {_K} WHERE user_id = 7 OR k = 7 UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey = 7")
 def subject_match(spark, d):
-    e = events(spark, d).where((F.col("user_id") == 7) | documents.condition("props", {"k": 7})).select(F.lit("events").alias("store"), F.col("event_id").cast("string").alias("id"))
+    e = typed(spark, d).where((F.col("user_id") == 7) | json_contains(F.col("doc"), "n", 7)).select(F.lit("events").alias("store"), F.col("event_id").cast("string").alias("id"))
     return e.union(load(spark, d, "customer").where("c_custkey = 7").select(F.lit("customer"), F.col("c_custkey").cast("string")))
 
 
+@query("subject_erase", f"SELECT 'events' AS store, CAST(event_id AS VARCHAR) AS id FROM {_K} WHERE NOT (user_id = 7 OR k = 7) UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey <> 7")
+def subject_erase(spark, d):
+    """What is left of both stores after all that belongs to a subject is gone."""
+    mine = F.coalesce(F.col("user_id") == 7, F.lit(False)) | json_contains(F.col("doc"), "n", 7)
+    e = typed(spark, d).where(~mine).select(F.lit("events").alias("store"), F.col("event_id").cast("string").alias("id"))
+    return e.union(dml.delete(load(spark, d, "customer"), F.col("c_custkey") == 7).select(F.lit("customer"), F.col("c_custkey").cast("string")))
+
+
 @query("subject_export", "SELECT 'events' AS store, event_id AS id, event_type AS kind, NULL AS name FROM events WHERE user_id = 7 UNION ALL SELECT 'customer', c_custkey, NULL, c_name FROM customer WHERE c_custkey = 7")
 def subject_export(spark, d):
     e = events(spark, d).where("user_id = 7").select(F.lit("events").alias("store"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"))

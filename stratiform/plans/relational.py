@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import functions
 from ..operators import dml
 from ..sources.tables import load, run_sql
 from .builder import Query
@@ -27,17 +28,17 @@ SHARED = {
     "logical_ops": "SELECT p_partkey, p_size > 5 AND p_retailprice > 1000 AS a, p_size > 5 OR p_retailprice > 1000 AS o, NOT p_size > 5 AS n, CAST(NULL AS BOOLEAN) AND FALSE AS k FROM part",
     "unary_ops": "SELECT s_suppkey, -s_acctbal AS neg, +s_acctbal AS pos FROM supplier",
     "concat_op": "SELECT c_custkey, c_name || '-' || c_mktsegment AS tag, c_name || CAST(NULL AS VARCHAR(5)) AS none FROM customer",
-    "is_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL",
+    "is_null": "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000 WHERE o_orderkey IS NULL",
     "in_list": "SELECT n_name FROM nation WHERE n_regionkey IN (1, 3) AND n_nationkey NOT IN (2, 8)",
     "between": "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 1000 AND 1200",
-    "like_pattern": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_type NOT LIKE 'S%'",
+    "like_pattern": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%e%' AND p_type NOT LIKE 'S%'",
     "like_underscore": "SELECT n_name FROM nation WHERE n_name LIKE '_________'",
     "case_searched": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders",
     "case_simple": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM orders",
     "in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
-    "not_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "not_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 250000)",
     "exists_subquery": "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)",
-    "not_exists_subquery": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "not_exists_subquery": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)",
     "correlated_subquery": "SELECT o_orderkey, o_custkey FROM orders o WHERE o_totalprice > (SELECT avg(i.o_totalprice) + 0.001 FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "derived_table": "SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) t WHERE n > 12",
@@ -61,18 +62,23 @@ SHARED = {
     "agg_expression": "SELECT o_orderstatus, round(CAST(count(*) AS DOUBLE) * 100 / (SELECT count(*) FROM orders), 8) AS share FROM orders GROUP BY o_orderstatus",
     "select_distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "sort_multi": "SELECT c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment DESC NULLS FIRST, c_custkey ASC NULLS LAST",
-    "sort_nulls": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey ORDER BY o_orderkey ASC NULLS LAST, c_custkey LIMIT 20",
+    "sort_nulls": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000 ORDER BY o_orderkey ASC NULLS LAST, c_custkey",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25",
     "top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "fn_upper_lower": "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l FROM nation",
     "fn_abs": "SELECT s_suppkey, abs(CAST(s_acctbal AS DOUBLE)) AS a FROM supplier",
-    "fn_coalesce": "SELECT c_custkey, coalesce(o_orderkey, -1) AS k FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey < 500",
+    "fn_coalesce": "SELECT c_custkey, coalesce(o_orderkey, -1) AS k FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000",
     "fn_nullif": "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders",
     "fn_trim_concat_substring": "SELECT c_custkey, trim('  x ') AS t, concat(c_name, '!') AS c, substring(c_name, 2, 4) AS s FROM customer",
     "fn_ceil_floor_round": "SELECT s_suppkey, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f, round(s_acctbal, 1) AS r FROM supplier",
     "fn_date": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders",
     "insert_select": "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region",
     "window_rank": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders",
+    "window_functions": "SELECT o_custkey, o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS dr, lag(o_orderkey) OVER w AS prev, lead(o_orderkey) OVER w AS nxt, first_value(o_orderkey) OVER w AS head, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS two FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+    "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION ALL SELECT r_regionkey + 1000 FROM region",
+    "set_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
+    "with_cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT max(total) AS most FROM big) SELECT o_custkey, round(total, 2) AS total FROM big, top WHERE total > most / 2",
+    "fn_now": "SELECT now() > TIMESTAMP '2020-01-01 00:00:00' AS after, current_timestamp >= TIMESTAMP '2020-01-01 00:00:00' AS also, current_date > DATE '2020-01-01' AS today, nullif(1, 1) AS nothing",
     "set_operations": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
 }
 
@@ -95,9 +101,14 @@ def fn_length(spark, d):
     return load(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.char_length("text").cast("long").alias("chars"))
 
 
-@query("fn_hash_crc", "SELECT c_custkey, md5(c_name) AS m FROM customer")
+#: CRC-32 bit by bit, in the oracle.
+_CRC = "list_reduce([ord(c) FOR c IN string_split(c_name, '')], lambda acc, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(acc, b)), 4294967295)"
+
+
+@query("fn_hash_crc", f"SELECT c_custkey, md5(c_name) AS m, xor({_CRC}, 4294967295) AS crc, CAST(('0x' || substr(md5(c_name), 1, 8)) AS BIGINT) % 1024 AS ring FROM customer")
 def fn_hash_crc(spark, d):
-    return load(spark, d, "customer").select("c_custkey", F.md5("c_name").alias("m"))
+    name = F.col("c_name")
+    return load(spark, d, "customer").select("c_custkey", functions.hash128(name).alias("m"), functions.crc32(name).alias("crc"), functions.ring_hash(name, 1024).alias("ring"))
 
 
 @query("param_query", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 AND c_acctbal > 1000")
