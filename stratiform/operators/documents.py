@@ -22,6 +22,11 @@ def path(doc: str, dotted: str) -> Column:
     return F.get_json_object(F.col(doc), _steps(dotted))
 
 
+def _once(value: Column, body) -> Column:
+    """body over a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def value(doc: str, dotted: str) -> Column:
     """The value as a variant; null where it is missing or the document is no JSON."""
     return F.try_variant_get(F.try_parse_json(F.col(doc)), _steps(dotted), "variant")
@@ -29,80 +34,98 @@ def value(doc: str, dotted: str) -> Column:
 
 def kind(variant: Column) -> Column:
     """string, int, float, bool, array, object or null; null where there is no value."""
-    t = F.schema_of_variant(variant)
-    whole = t.isin("BIGINT") | t.rlike(r"^DECIMAL\(\d+,0\)$")
-    out = F.when(t == "STRING", "string").when(whole, "int").when(t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"), "float").when(t == "BOOLEAN", "bool")
-    return out.when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").when(t == "VOID", "null")
+
+    def named(t: Column) -> Column:
+        out = F.when(t == "STRING", "string").when((t == "BIGINT") | t.rlike(r"^DECIMAL\(\d+,0\)$"), "int").when(_is_number(t), "float").when(t == "BOOLEAN", "bool")
+        return out.when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").when(t == "VOID", "null")
+
+    return _once(F.schema_of_variant(variant), named)
+
+
+def _is_number(t: Column) -> Column:
+    return t.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
 
 
 def exists(doc: str, dotted: str) -> Column:
     """True where the field is there, a null value included."""
-    return kind(value(doc, dotted)).isNotNull()
+    return value(doc, dotted).isNotNull()
 
 
-def _compare(doc: str, dotted: str, op: str, other: Any) -> Column:
-    v, text = value(doc, dotted), path(doc, dotted)
+def _compare(v: Column, dotted: str, op: str, other: Any) -> Column:
+    """Values are compared first, and types only where that holds."""
+    at = _steps(dotted)
+    t = F.schema_of_variant(F.try_variant_get(v, at, "variant"))
+    get = lambda as_: F.try_variant_get(v, at, as_)
     if other is None:
-        test = kind(v) == "null"
-        return F.coalesce(~test if op == "$ne" else test, F.lit(op == "$ne"))
-    if isinstance(other, bool):
-        fits, left, right = kind(v) == "bool", text, F.lit(str(other).lower())
+        test = t == "VOID"
+    elif isinstance(other, bool):
+        test = _holds(op, get("boolean"), F.lit(other)) & (t == "BOOLEAN")
     elif isinstance(other, (int, float)):
-        fits, left, right = kind(v).isin("int", "float"), text.try_cast("double"), F.lit(float(other))
+        test = _holds(op, get("double"), F.lit(float(other))) & _is_number(t)
     else:
-        fits, left, right = kind(v) == "string", text, F.lit(other)
-    test = {"$eq": left == right, "$ne": left == right, "$gt": left > right, "$gte": left >= right, "$lt": left < right, "$lte": left <= right}[op]
-    test = F.coalesce(fits & test, F.lit(False))
-    return ~test if op == "$ne" else test
+        test = _holds(op, get("string"), F.lit(other)) & (t == "STRING")
+    return F.coalesce(test, F.lit(False))
+
+
+def _holds(op: str, a: Column, b: Column) -> Column:
+    return {"$eq": a == b, "$gt": a > b, "$gte": a >= b, "$lt": a < b, "$lte": a <= b}[op]
 
 
 def condition(doc: str, query: dict[str, Any]) -> Column:
     """A filter document as a two-valued column: $eq $ne $gt $gte $lt $lte $in $nin $exists
     $regex $contains $startsWith $endsWith, $and $or $not; several operators are ANDed. A field
     that is missing passes $ne and $nin alone; $contains also finds a member of an array; a
-    pattern that is no regular expression matches nothing."""
+    pattern that is no regular expression matches nothing. A document is parsed once."""
+    return _once(F.try_parse_json(F.col(doc)), lambda v: _condition(v, query))
+
+
+def _condition(v: Column, query: dict[str, Any]) -> Column:
     out = F.lit(True)
     for key, want in query.items():
         if key == "$and":
             for q in want:
-                out &= condition(doc, q)
+                out &= _condition(v, q)
         elif key == "$or":
             any_ = F.lit(False)
             for q in want:
-                any_ |= condition(doc, q)
+                any_ |= _condition(v, q)
             out &= any_
         elif key == "$not":
-            out &= ~condition(doc, want)
+            out &= ~_condition(v, want)
         else:
             for op, x in (want if isinstance(want, dict) else {"$eq": want}).items():
-                v, text = value(doc, key), path(doc, key)
-                of_string = lambda test: F.coalesce((kind(v) == "string") & test, F.lit(False))  # noqa: B023, E731
-                if op in ("$in", "$nin"):
-                    found = F.lit(False)
-                    for item in x:
-                        found |= _compare(doc, key, "$eq", item)
-                    out &= ~found if op == "$nin" else found
-                elif op == "$exists":
-                    out &= exists(doc, key) if x else ~exists(doc, key)
-                elif op == "$regex":
-                    try:
-                        re.compile(x)
-                        out &= of_string(text.rlike(x))
-                    except re.error:
-                        out &= F.lit(False)
-                elif op == "$contains":
-                    found = of_string(text.contains(x)) if isinstance(x, str) else F.lit(False)
-                    members = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda i: F.to_json(i))
-                    out &= found | F.coalesce(F.array_contains(members, json.dumps(x, ensure_ascii=False)), F.lit(False))
-                elif op == "$startsWith":
-                    out &= of_string(text.startswith(x))
-                elif op == "$endsWith":
-                    out &= of_string(text.endswith(x))
-                else:
-                    out &= _compare(doc, key, op, x)
+                out &= _operator(v, key, op, x)
     return out
 
 
+def _operator(v: Column, key: str, op: str, x: Any) -> Column:
+    if op in ("$in", "$nin"):
+        found = F.lit(False)
+        for item in x:
+            found |= _compare(v, key, "$eq", item)
+        return ~found if op == "$nin" else found
+    if op == "$ne":
+        return ~_compare(v, key, "$eq", x)
+    one = F.try_variant_get(v, _steps(key), "variant")
+    if op == "$exists":
+        return one.isNotNull() if x else one.isNull()
+    if op not in ("$regex", "$contains", "$startsWith", "$endsWith"):
+        return _compare(v, key, op, x)
+    text = F.try_variant_get(v, _steps(key), "string")
+    of_string = lambda test: F.coalesce(test & (F.schema_of_variant(one) == "STRING"), F.lit(False))
+    if op == "$regex":
+        try:
+            re.compile(x)
+        except re.error:
+            return F.lit(False)
+        return of_string(text.rlike(x))
+    if op == "$contains":
+        found = of_string(text.contains(x)) if isinstance(x, str) else F.lit(False)
+        members = F.transform(F.try_variant_get(v, _steps(key), "array<variant>"), lambda i: F.to_json(i))
+        return found | F.coalesce(F.array_contains(members, json.dumps(x, ensure_ascii=False)), F.lit(False))
+    return of_string(text.startswith(x) if op == "$startsWith" else text.endswith(x))
+
+
 def find(docs: DataFrame, doc: str, query: dict[str, Any], sort: list[Column] | None = None, skip: int = 0, limit: int | None = None, project: dict[str, str] | None = None) -> DataFrame:
     """Filter, sort, skip, limit, project, in that order."""
     out = docs.where(condition(doc, query))
