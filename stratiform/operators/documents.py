@@ -293,7 +293,7 @@ def term_counts(text: Column) -> Column:
         return F.transform(F.array(begins), counted)[0]
 
     none = F.array().cast("array<struct<term:string,n:bigint>>")
-    return F.transform(F.array(F.array_sort(F.coalesce(terms(text), F.array().cast("array<string>")))), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))[0]
+    return F.transform(F.array(F.sort_array(F.coalesce(terms(text), F.array().cast("array<string>")))), lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))[0]
 
 
 def inverted_index(docs: DataFrame, text: str, key: str) -> DataFrame:
