@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
 from .files import distribute_object, held, load_object, tokenizer_path
-from .textops import Numbering, lanes, portions, word_hashes
+from .textops import Numbering, heads, lanes, portions, word_hashes
 
 MARK = "▁"
 FLOOR = 1e-7
@@ -313,7 +313,9 @@ class Runs:
         # as bytes, for the table of words
         self.data = cp.view(np.uint8)
         self.starts, self.ends = self.begin * 4, self.end * 4
+        self.size = self.ends - self.starts
         self.lanes = lanes(self.data)
+        self.head = heads(self.lanes, self.starts, self.size)
         self.hashes = word_hashes(self.data, self.starts, self.ends)
         self.hashes[self.hashes == 0] = U(1)
 

@@ -33,7 +33,9 @@ from .textops import SLICE, PieceIds, slices
 
 MAGIC = b"RPR2"
 #: Pairs that occur at least 1/SPREAD times as often as the most frequent one are replaced in one pass.
-SPREAD = 8
+SPREAD = 32
+#: Bits of the table of counts that tells pairs that are rare for sure.
+SLOTS = 19
 #: Expansions up to this many tokens are written out when a whole shard is decoded.
 FLAT = 16
 U = np.uint64
@@ -45,9 +47,9 @@ def _pair_counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return every[first], np.diff(np.append(first, len(every)))
 
 
-def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions whose pair is chosen, which one it is, and the chosen that are found. Chosen pairs
-    stand in rising order of frequency; of two that share a slot of the table the more frequent is found."""
+def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose pair is chosen, and which one it is. Chosen pairs stand in rising order of
+    frequency; of two that share a slot of the table the more frequent is found, the other waits."""
     bits = max(16, len(chosen).bit_length() + 3)
     slot_of = lambda k: (k * U(0x9E3779B97F4A7C15) >> U(64 - bits)).astype(np.int32)
     slot = slot_of(chosen)
@@ -56,7 +58,7 @@ def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     table[slot] = chosen[rank[slot]]
     slot = slot_of(key)
     where = np.flatnonzero(table[slot] == key)
-    return where, rank[slot[where]], table[slot_of(chosen)] == chosen
+    return where, rank[slot[where]]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8):
@@ -68,25 +70,34 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8):
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
+    live = ~last  # places whose pair may still be frequent: a pair that is rare once stays so
     rules, length = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
     while True:
-        inside = np.flatnonzero(~last[:-1])
-        if not len(inside):
-            break
+        inside = np.flatnonzero(live)
         key = (seq[inside].astype(U) << U(32)) | seq[inside + 1]
+        # a pair is rare if all pairs of its slot together are
+        slot = (key * U(0x9E3779B97F4A7C15) >> U(64 - SLOTS)).astype(np.int32)
+        some = np.flatnonzero((np.bincount(slot, minlength=1 << SLOTS) >= least)[slot])
+        if not len(some):
+            break
+        rare = np.ones(len(inside), bool)
+        rare[some] = False
+        live[inside[rare]] = False
+        inside, key = inside[some], key[some]
         pair, count = _pair_counts(key)
         chosen = np.flatnonzero(count >= max(least, int(count.max()) // SPREAD))
         if not len(chosen):
             break
         chosen = chosen[np.argsort(count[chosen], kind="stable")]
         pair = pair[chosen]
-        at, rank, _ = _places(key, pair)
+        at, rank = _places(key, pair)
         where = inside[at]
         # of overlapping occurrences of one pair every second one is taken, from the left
         same = (np.diff(where, prepend=-2) == 1) & (np.diff(rank, prepend=-1) == 0)
-        begin = np.flatnonzero(~same)
-        odd = (np.arange(len(where)) - np.repeat(begin, np.diff(np.append(begin, len(where))))) % 2 == 1
-        where, rank = where[~odd], rank[~odd]
+        if same.any():
+            begin = np.flatnonzero(~same)
+            odd = (np.arange(len(where)) - np.repeat(begin, np.diff(np.append(begin, len(where))))) % 2 == 1
+            where, rank = where[~odd], rank[~odd]
         # of overlapping occurrences of two pairs the more frequent pair's
         near = np.diff(where) == 1
         lose = np.zeros(len(where), bool)
@@ -103,9 +114,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8):
         length = np.concatenate([length, every[a] + every[b]])
         seq[where] = number[rank]
         last[where] = last[where + 1]
+        live[where] = ~last[where]
+        before = where[where > 0] - 1
+        live[before] = ~last[before]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last, live = seq[keep], last[keep], live[keep]
     return seq, np.flatnonzero(last) + 1, np.concatenate(rules), length, base
 
 

@@ -81,6 +81,11 @@ def lanes(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded[:8].view(U), (len(data) + 9,), (1,))
 
 
+def heads(view: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of byte ranges, with zeros after shorter ones."""
+    return view[starts] & _LANE[np.minimum(size, 8)]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges, mixed eight bytes at a time (a bijection of the bytes for
     ranges of one length up to eight); of more than LONG bytes, a cryptographic hash."""
@@ -225,10 +230,11 @@ class Numbering:
     def __init__(self):
         self.table, self.apart, self.n = WordTable(), {}, 0
         self.text, self.begin = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, np.int64)
+        self.head, self.size = np.zeros(1 << 12, U), np.zeros(1 << 12, np.int32)
 
     def number(self, pieces: "Pieces", fresh) -> np.ndarray:
         """Each piece's number; fresh gets the bytes of new pieces, in the order of their numbers."""
-        found = self._find(pieces, np.arange(len(pieces.hashes)))
+        found = self._find(pieces, None)
         missing = np.flatnonzero(found == -1)
         if len(missing):
             _, at = np.unique(pieces.hashes[missing], return_index=True)
@@ -253,33 +259,35 @@ class Numbering:
         while used + int(sizes.sum()) + 16 > len(self.text):
             self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         while self.n + len(raw) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.begin, self.head, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.head, self.size))
+        self.head[self.n : self.n + len(raw)] = np.frombuffer(b"".join([x[:8].ljust(8, b"\0") for x in raw]), U)
+        self.size[self.n : self.n + len(raw)] = sizes
         self.text[used : used + int(sizes.sum())] = np.frombuffer(b"".join(raw), np.uint8)
         self.begin[self.n + 1 : self.n + 1 + len(raw)] = used + np.cumsum(sizes)
         self.n += len(raw)
 
-    def _find(self, pieces: "Pieces", at: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces at those places; -1 where the hash is not there, -2 where it belongs to other bytes."""
-        number = self.table.find(pieces.hashes[at])
-        hit = np.flatnonzero(number >= 0)
-        k = number[hit]
-        start, mine = pieces.starts[at[hit]], self.begin[k]
-        size = pieces.ends[at[hit]] - start
-        wrong = size != self.begin[k + 1] - mine
+    def _find(self, pieces: "Pieces", at: np.ndarray | None) -> np.ndarray:
+        """Numbers of the pieces (all, or those at some places); -1 where the hash is not there, -2 where it belongs to other bytes."""
+        of = lambda x: x if at is None else x[at]
+        number = self.table.find(of(pieces.hashes))
+        start, size = of(pieces.starts), of(pieces.size)
+        k = np.maximum(number, 0)
+        wrong = (number >= 0) & ((self.size[k] != size) | (self.head[k] != of(pieces.head)))
+        live = np.flatnonzero((number >= 0) & ~wrong & (size > 8))
         # the place after the last byte and eight more are within the array
         kept = np.lib.stride_tricks.as_strided(self.text[:8].view(U), (len(self.text) - 7,), (1,))
-        live = np.flatnonzero(~wrong)
-        for j in range(0, LONG, 8):
+        start, mine = start[live], self.begin[k[live]]
+        left = size[live] - 8
+        for j in range(8, LONG, 8):
             if not len(live):
                 break
-            left = size[live] - j
-            mask = _LANE[np.minimum(left, 8)]
-            bad = (pieces.lanes[start[live] + j] ^ kept[mine[live] + j]) & mask != 0
+            bad = (pieces.lanes[start + j] ^ kept[mine + j]) & _LANE[np.minimum(left, 8)] != 0
             wrong[live[bad]] = True
-            live = live[~bad & (left > 8)]
-        for i in live.tolist():
-            wrong[i] = not np.array_equal(pieces.data[start[i] : start[i] + size[i]], self.text[mine[i] : mine[i] + size[i]])
-        number[hit[wrong]] = -2
+            on = ~bad & (left > 8)
+            live, start, mine, left = live[on], start[on], mine[on], left[on] - 8
+        for i, a, b in zip(live.tolist(), start.tolist(), mine.tolist(), strict=True):
+            wrong[i] = not np.array_equal(pieces.data[a : a + size[i]], self.text[b : b + size[i]])
+        number[wrong] = -2
         return number
 
 
@@ -332,7 +340,9 @@ class Pieces:
 
     def _index(self, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> None:
         self.starts, self.ends, self.first = starts, ends, first
+        self.size = ends - starts
         self.lanes = lanes(self.data)
+        self.head = heads(self.lanes, starts, self.size)
         self.hashes = word_hashes(self.data, starts, ends)
         self.hashes[self.hashes == 0] = U(1)
 
