@@ -37,7 +37,7 @@ SPREAD = 32
 #: Bits of the table of counts that tells pairs that are rare for sure.
 SLOTS = 19
 #: Expansions up to this many tokens are written out when a whole shard is decoded.
-FLAT = 16
+FLAT = 256
 U = np.uint64
 
 
