@@ -1,45 +1,15 @@
-"""Shared storage that the driver and every executor can reach.
-
-All intermediate tables and files live under the folder that the cluster names in
-``spark.checkpoint.dir``. Only where that is unset (tests) a folder of our own is used.
-"""
+"""Intermediate tables and files in the shared storage of `sources.storage`."""
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
-import shutil
-import tempfile
 import uuid
-from functools import lru_cache
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder. Without one a cluster is refused: each executor would
-    write to its own disk and later reads would miss those files."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{scratch_dir()}"
-    return root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
-
-
-@lru_cache(maxsize=1)
-def scratch_dir() -> str:
-    """A folder of the driver for files that Spark hands out; it goes when the process ends."""
-    folder = tempfile.mkdtemp(prefix="stratiform-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI for one run of one operator."""
-    return f"{shared_root(spark).rstrip('/')}/stratiform/{name}-{uuid.uuid4().hex}"
+from ..sources.storage import fresh_dir, remove, scratch_dir, shared_root  # noqa: F401  for this subpackage's modules
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -70,12 +40,6 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, uri: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
