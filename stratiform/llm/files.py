@@ -52,15 +52,25 @@ def held(key: tuple, make):
     """What make() gives, made once a worker. A worker is used again by later operators, so
     only the last key's object is kept; memory of earlier ones goes back to the system."""
     if key not in _held:
-        _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        _drop()
         _held[key] = make()
     return _held[key]
 
 
+def let_go() -> None:
+    """For operators that hold nothing: what an earlier one left in the worker goes back to the system."""
+    if _held:
+        _drop()
+
+
+def _drop() -> None:
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     """Path of a public tokenizer's file; the default for the operators' path parameters."""
     import public_tokenizers

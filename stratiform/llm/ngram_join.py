@@ -33,12 +33,14 @@ Sets are told apart by two 64-bit hashes and their sizes, n-grams by one 64-bit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import ship_package
+from .files import let_go
 from .store import broadcast_if_small, materialize, release
 from .textops import U, combine, mix, portions, shingle_sets
 
@@ -46,6 +48,8 @@ FRAGMENTS = 8
 SALTS = 16
 ROUNDS = 3
 FIRST_CLASS = 8
+#: Rows of keys or n-grams that a task counts or joins at once, on average; more are dealt with in passes, as many as MOST_PASSES.
+PASS_ROWS, MOST_PASSES = 200_000, 16
 
 
 def most_differences(n: int, percent: int) -> int:
@@ -91,6 +95,12 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def passes(spark: SparkSession, rows: int | None) -> int:
+    """Passes over so many rows that meet by key, each key in one of them: they keep a task's
+    hash tables and sorts small and let the shuffle files of one pass go before the next."""
+    return min(MOST_PASSES, max(1, -(-(rows or 0) // (PASS_ROWS * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+
+
 def tie(text: str = "text") -> Column:
     """Tells rows of one doc_id and different texts apart."""
     return F.xxhash64(F.col(text))
@@ -101,6 +111,7 @@ def describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in portions(batch, 2):
                 n, a, b, keys = [], [], [], []
@@ -170,9 +181,33 @@ def grams_of(sets: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def unique_grams(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, alone): n-grams of each member that no other member has."""
-    alone = grams_of(sets, members).groupBy("gram").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
-    return alone.groupBy("id").agg(F.count("*").alias("alone"))
+    """(id, alone): n-grams of each member (id, n) that no other member has."""
+    spark = sets.sparkSession
+    # an n-gram lies in one fragment
+    many = min(FRAGMENTS, passes(spark, members.agg(F.sum("n")).first()[0]))
+    out = None
+    for i in range(many):
+        alone = grams_of(sets.where(F.col("frag") % many == i), members).groupBy("gram").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
+        part = materialize(alone.groupBy("id").agg(F.count("*").alias("alone")), "alone")
+        del alone
+        release(spark)
+        out = part if out is None else out.union(part)
+    return out.groupBy("id").agg(F.sum("alone").alias("alone"))
+
+
+def meeting(keyed: DataFrame, keys: int | None) -> list[DataFrame]:
+    """(id, key) of the keys that several rows of keyed (id, keys) have, as stored tables; keys: how many there are in all."""
+    spark = keyed.sparkSession
+    many = passes(spark, keys)
+    out = []
+    for i in range(many):
+        # the large tables hold keys and numbers alone; a key is in a class once, so counts tell what meets
+        posts = keyed.select("id", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(many)) == i)
+        met = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+        out.append(materialize(posts.join(met, "key"), "posts"))
+        del posts, met
+        release(spark)
+    return out
 
 
 def prefix_pairs(sets: DataFrame, members: DataFrame, percent: int, possible: Column) -> DataFrame:
@@ -226,22 +261,20 @@ def assigned(docs: DataFrame, k: int, percent: int) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie")
     classes = signed.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min(row).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     keyed = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    classes = materialize(keyed.drop("keys"), "classes")
+    classes = materialize(keyed.select("*", F.size("keys").alias("m")).drop("keys"), "classes")
     release(spark, signed)
-    # the large tables hold keys and numbers alone; a key is in a class once, so counts tell what meets
-    posts = keyed.select("id", F.explode("keys").alias("key"))
-    met = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    posts = materialize(posts.join(met, "key"), "posts")
+    parts = meeting(keyed, classes.agg(F.sum("m")).first()[0])
+    posts = reduce(DataFrame.union, parts)
     release(spark, keyed)
-    some = materialize(posts.select("id").distinct(), "members")
+    some = materialize(classes.join(posts.select("id").distinct(), "id", "left_semi").select("id", "n"), "members")
     wanted = materialize(classes.join(some, "id", "left_semi").select("id", "cls", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie")), "wanted")
     sets = materialize(fragment_sets(docs, broadcast_if_small(wanted, 64), k), "fragments")
     release(spark)
     # a set has at most in common with another what it does not have alone; without enough of that it has no link
-    sizes = classes.join(some, "id", "left_semi").select("id", "n").join(unique_grams(sets, some), "id", "left")
+    sizes = some.join(unique_grams(sets, some), "id", "left")
     sizes = sizes.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(f"100 * most >= {percent} * n")
-    old, posts = posts, materialize(posts.join(sizes, "id").select("key", "id", "n", "most"), "linkable")
-    release(spark, old, some)
+    posts = materialize(posts.join(sizes, "id").select("key", "id", "n", "most"), "linkable")
+    release(spark, *parts, some)
     possible = F.expr(f"a <> b AND la <> lb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND (100 + {percent}) * least(ma, mb) >= {percent} * (na + nb)")
     link = F.expr(f"100 * common >= {percent} * (na + nb - common)")
 

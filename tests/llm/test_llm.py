@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratiform.llm import bpe, decontaminate, extract, langid, ledger, ngram_join, repair, secrets, textops, toxicity, warc
+from stratiform.llm import bpe, decontaminate, extract, files, langid, ledger, ngram_join, repair, secrets, textops, toxicity, warc
 from stratiform.llm.files import tokenizer_path
 from stratiform.llm.lexicon import Lexicon, build, save
 
@@ -561,3 +561,42 @@ def test_sets_of_one_hash_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "describe", lambda *a: plain(*a).withColumn("cls", F.lit(5).cast("long")))
     got = {r.doc_id: r.component_id for r in ngram_join.components(docs).collect()}
     assert [got[i] for i in range(16)] == [*range(8), *range(8)]
+
+
+def test_ngram_join_in_passes(spark, monkeypatch):
+    """Keys and n-grams that are many meet in several passes, each of them a bounded part, and no link is lost."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(8):
+        b = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(20, 90))]
+        for _ in range(10):
+            w = b[:]
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"n{rng.random()}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored, plain = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: stored.append((name, out := plain(df, name), out.count())) or out)
+    monkeypatch.setattr(ngram_join, "PASS_ROWS", 100)
+    got = {r.doc_id: r.component_id for r in ngram_join.components(docs, 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80)
+    for name in ("posts", "alone"):
+        sizes = [n for x, df, n in stored if x == name and "label" not in df.columns]
+        assert len(sizes) > 3 and max(sizes) < 0.6 * sum(sizes)
+
+
+def test_ngram_join_lets_go_of_what_workers_held(spark):
+    """A worker's tables of an earlier operator are memory beside this one's."""
+
+    class Here:
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return [x.to_pylist() for x in run(iter([pa.record_batch({"doc_id": [1], "tie": [2], "text": ["a b c"]})]))]
+
+    files.held(("langid", "earlier"), lambda: [0])
+    assert ngram_join.describe(Here(), 5, 80)[0][0]["n"] == 1
+    assert not files._held
