@@ -45,8 +45,8 @@ def read(spark: SparkSession, root: str, metric: str | None = None, start: Colum
 
 
 def history(points: DataFrame, span: str, now: Column) -> DataFrame:
-    """Points of the last 1h, 6h, 24h, 7d or 30d; any other span is an hour."""
-    return points.where(F.unix_timestamp("ts") >= F.unix_timestamp(now) - RANGES.get(span, 3600))
+    """Points of the last 1h, 6h, 24h, 7d or 30d, to the microsecond; any other span is an hour."""
+    return points.where(F.col("ts") >= now.cast(points.schema["ts"].dataType) - F.expr(f"INTERVAL {RANGES.get(span, 3600)} SECONDS"))
 
 
 def drop_series(points: DataFrame, metric: str, tags: dict[str, str] | None = None) -> DataFrame:
