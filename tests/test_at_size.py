@@ -1,11 +1,12 @@
 """Cases that only larger tables met: fractions of seconds, dense series, many versions, many documents."""
 
 import datetime as dt
+import random
 
 import duckdb
 
 import __spark_entry__
-from stratiform.operators import points
+from stratiform.operators import points, replicas
 
 
 def test_history_to_the_microsecond(spark, tmp_path):
@@ -18,3 +19,30 @@ def test_history_to_the_microsecond(spark, tmp_path):
         c.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
         assert got == set(c.execute(__spark_entry__.oracle_sql()["metrics_history"]).fetchall())
     assert {(s, n) for s, n, _ in got} == {(s, 4 * i + 3) for i, s in enumerate(points.RANGES)}
+
+
+def test_many_versions_of_one_register(spark):
+    """A sweep: an id's versions may fill many blocks and batches, and nodes may first come up late."""
+    rng = random.Random(6)
+    wave = [("wave", i, {"a": i + 1, "b": 3000 - i}) for i in range(3000)] + [("wave", -i, {"a": i, "b": 2999 - i} | ({"z": 1} if i % 10 == 0 else {})) for i in range(1, 2999)]
+    some = [(rng.choice("xyz"), rng.randrange(5), {n: rng.randrange(4) for n in "abcde" if rng.random() < 0.6}) for _ in range(400)]
+    odd = [("n", 1, None), ("n", 2, {"a": 1}), ("n", 3, {"a": 0}), (None, 4, {"a": 1}), (None, 5, {"a": 2}), ("e", 6, {}), ("e", 6, {"a": 0}), ("e", 7, {})]
+    for name, rows in (("one", wave), ("some", some), ("odd", odd)):
+        clocks = {(i, v, None if c is None else frozenset((k, n) for k, n in c.items() if n)) for i, v, c in rows}
+        of = {}
+        for i, _, c in clocks:
+            of.setdefault(i, set()).add(c)
+        up_to = lambda a, b: all(n <= dict(b).get(k, 0) for k, n in a)
+        beaten = {(i, a) for i, cs in of.items() for a in cs for b in cs if i is not None and None not in (a, b) and a != b and up_to(a, b)} if name != "one" else {("wave", c) for i, v, c in clocks if v < 0 and not any(k == "z" for k, _ in c)}
+        df = spark.createDataFrame(rows, "id string, value int, clock map<string,int>").repartition(3)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+        got = [(r.id, r.value, None if r.clock is None else frozenset((k, n) for k, n in r.clock.items() if n)) for r in replicas.multi_value(df).collect()]
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(set(got)) and set(got) == {(i, v, c) for i, v, c in clocks if (i, c) not in beaten}, name
+
+
+def test_registers_are_not_joined_with_themselves(spark):
+    """Pairs of versions of an id are quadratic."""
+    df = spark.createDataFrame([("x", 1, {"a": 1})], "id string, value int, clock map<string,int>")
+    plan = replicas.multi_value(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
