@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DecimalType, NumericType
 
 #: Aggregates of a group of points; order by time decides first, last, rate and increase.
 AGGREGATES = {
@@ -40,26 +41,59 @@ def downsample(points: DataFrame, series: list[str], interval: str, how: str, va
     return points.groupBy(*series, bucket).agg(AGGREGATES[how](F.col(value), order).alias("value"))
 
 
-#: A rolling window's rows are dealt by stretches of time this many times the window's length.
+#: Rows of a rolling window that is not merged are dealt by stretches of time this many times the window's length.
 STRETCH = 24
 
+#: Aggregates of two adjoining spans of time from those of each: the parts to take of each, then the whole from their names.
+MERGED = {
+    "sum": (["sum"], lambda a, b: _added(a("sum"), b("sum"))),
+    "count": (["count"], lambda a, b: a("count") + b("count")),
+    "min": (["min"], lambda a, b: F.least(a("min"), b("min"))),
+    "max": (["max"], lambda a, b: F.greatest(a("max"), b("max"))),
+    "avg": (["sum", "count"], lambda a, b: _added(a("sum"), b("sum")) / F.nullif(a("count") + b("count"), F.lit(0))),
+}
+
+
+def _added(a: Column, b: Column) -> Column:
+    """The sum of those that are not null."""
+    return F.coalesce(a + b, a, b)
+
 
 def rolling(points: DataFrame, series: list[str], interval: str, how: str, value: str = "value", ts: str = "ts") -> DataFrame:
     """Aggregate of the points of the last interval, both ends included.
 
-    A series is cut into stretches of time; a stretch also gets the last interval of the one
-    before, so that a long series is many tasks.
+    Time is cut into pieces as long as the interval, so that a window is the end of one piece and
+    the beginning of the next. Both are running aggregates: each point is added twice however many
+    its window holds, and a long series is many tasks. Only those in MERGED; others go through
+    each window's points.
     """
     length = int(interval.split()[0]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[interval.split()[1].rstrip("s")] * 1_000_000
     own = "_" + "_".join(points.columns)
     us, part, mine = own + "us", own + "part", own + "mine"
-    rows = points.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(part, F.floor(F.col(us) / (STRETCH * length)))
-    late = F.col(us) >= (F.col(part) + 1) * (STRETCH * length) - length
+    given, result = points.select(F.col(value).alias("v"), AGGREGATES[how](F.col(value), F.col(ts)).over(Window.partitionBy(*series)).alias("r")).schema
+    exact = isinstance(given.dataType, DecimalType)
+    merged = how in MERGED and (how in ("count", "min", "max") or isinstance(given.dataType, NumericType) and not (exact and how == "avg"))
+    piece = length * (1 if merged else STRETCH)
+    rows = points.withColumn(us, F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(part, F.floor(F.col(us) / piece))
+    late = F.col(us) >= (F.col(part) + 1) * piece - length
     copies = F.when(late, F.array(F.col(part), F.col(part) + 1)).otherwise(F.array(F.col(part)))
     rows = rows.select(*points.columns, us, F.posexplode(copies).alias(mine, part))
-    frame = Window.partitionBy(*series, part).orderBy(us).rangeBetween(-length, 0)
-    out = rows.withColumn("rolled", AGGREGATES[how](F.col(value), F.col(ts)).over(frame))
-    return out.where(F.col(mine) == 0).drop(us, part, mine)
+    over = Window.partitionBy(*series, part)
+    if not merged:
+        out = rows.withColumn("rolled", AGGREGATES[how](F.col(value), F.col(ts)).over(over.orderBy(us).rangeBetween(-length, 0)))
+        return out.where(F.col(mine) == 0).drop(us, part, mine)
+    # a point of the piece before stands at its time, one of the own piece where its window begins
+    before, begin = F.col(mine) == 1, own + "begin"
+    rows = rows.withColumn(begin, F.when(before, F.col(us)).otherwise(F.col(us) - length))
+    end = over.orderBy(F.desc(begin)).rangeBetween(Window.unboundedPreceding, 0)
+    beginning = over.orderBy(us).rangeBetween(Window.unboundedPreceding, 0)
+    parts, whole = MERGED[how]
+    v = F.col(value).cast("double") if how == "avg" else F.col(value)
+    for p in parts:
+        rows = rows.withColumn(f"{own}a{p}", AGGREGATES[p](F.when(before, v), None).over(end))
+        rows = rows.withColumn(f"{own}b{p}", AGGREGATES[p](F.when(~before, v), None).over(beginning))
+    rolled = whole(lambda p: F.col(f"{own}a{p}"), lambda p: F.col(f"{own}b{p}")).cast(result.dataType)
+    return rows.where(F.col(mine) == 0).select(*points.columns, rolled.alias("rolled"))
 
 
 def instant(points: DataFrame, series: list[str], how: str, value: str = "value", ts: str = "ts", tie: str | None = None) -> DataFrame:

@@ -4,9 +4,10 @@ import datetime as dt
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from stratiform.operators import points, replicas
+from stratiform.operators import points, replicas, timeseries as ts
 
 
 def test_history_to_the_microsecond(spark, tmp_path):
@@ -46,3 +47,24 @@ def test_registers_are_not_joined_with_themselves(spark):
     df = spark.createDataFrame([("x", 1, {"a": 1})], "id string, value int, clock map<string,int>")
     plan = replicas.multi_value(df)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_rolling_of_dense_series(spark):
+    """Every aggregate by brute force, with ties, nulls and gaps; running totals, not one pass for every point."""
+    rng = random.Random(7)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice(["x", "y", None]), i, start + dt.timedelta(seconds=rng.randrange(20) * rng.choice((1, 7)), microseconds=rng.choice((0, 1))), rng.choice((None, 1.5, -2.0, float(i)))) for i in range(300)]
+    rows += [("x", 1000 + i, None, 3.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "s string, id long, ts timestamp_ntz, value double")
+    for how, of in (("sum", sum), ("count", len), ("min", min), ("max", max), ("avg", lambda v: sum(v) / len(v))):
+        out = ts.rolling(df, ["s"], "10 seconds", how)
+        got = {r.id: r.rolled for r in out.collect()}
+        assert len(got) == len(rows)
+        for s, i, t, _ in rows:
+            window = [v for s2, _, t2, v in rows if s2 == s and v is not None and (t2 is None if t is None else t2 is not None and t - dt.timedelta(seconds=10) <= t2 <= t)]
+            want = of(window) if window or how == "count" else None
+            assert got[i] == want or abs(got[i] - want) < 1e-9, (how, s, i, t)
+        assert "RangeFrame, -" not in out._jdf.queryExecution().executedPlan().toString()
+    whole = df.select("s", "ts", F.col("value").cast("decimal(10,2)").alias("value"))
+    assert ts.rolling(whole, ["s"], "10 seconds", "sum").schema["rolled"].dataType.simpleString() == "decimal(20,2)"
+    assert ts.rolling(whole, ["s"], "10 seconds", "avg").schema["rolled"].dataType.simpleString() == "decimal(14,6)"
