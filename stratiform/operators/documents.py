@@ -224,43 +224,56 @@ def errors(doc: str, rules: dict[str, dict[str, Any]], additional: bool = True)
     min_length, max_length in bytes of strings and items of arrays; pattern; enum; items (type of
     all items); properties (rules of an object's fields). Rules other than required hold for fields that are
     there; those of a type hold for values of that type. Without `additional`, other fields of the document are errors."""
-    found = _messages(doc, rules, "")
+    of_rules = lambda v: F.flatten(F.array(F.array().cast("array<string>"), *_messages(v, rules, "")))
+    found = _once(F.try_parse_json(F.col(doc)), of_rules)
     if not additional:
         extra = F.filter(F.json_object_keys(F.col(doc)), lambda key: ~key.isin(*rules))
-        found.append(F.when(F.size(extra) > 0, F.concat(F.lit("additional: "), F.array_join(F.array_sort(extra), " "))))
-    return F.filter(F.array(*found), lambda e: e.isNotNull())
+        message = lambda e: F.when(F.size(e) > 0, F.concat(F.lit("additional: "), F.array_join(F.array_sort(e), " ")))
+        found = F.concat(found, F.array(_once(extra, message)))
+    return F.filter(found, lambda e: e.isNotNull())
 
 
-def _messages(doc: str, rules: dict[str, dict[str, Any]], at: str) -> list[Column]:
-    """A message or null for each rule."""
+def _messages(v: Column, rules: dict[str, dict[str, Any]], at: str) -> list[Column]:
+    """Arrays with a message or null for each rule over a parsed document. A field's value and kind are found once."""
     found: list[Column] = []
     for field, rule in rules.items():
-        name = f"{at}{field}"
-        v, text = value(doc, name), path(doc, name)
-        k = kind(v)
-        length = F.when(k == "string", F.octet_length(text)).when(k == "array", F.size(F.try_variant_get(v, "$", "array<variant>")))
-        number = F.when(k.isin("int", "float"), text.try_cast("double"))
-        fits = lambda k, t: k.isin("int", "float") if t == "number" else k == t
-        for test, x in rule.items():
-            if test == "properties":
-                found += _messages(doc, x, f"{name}.")
+        name, tests = f"{at}{field}", []
+        for test, x in [*rule.items(), ("properties", {})]:
+            if test != "properties":
+                tests.append((test, x))
                 continue
-            broken = {
-                "required": lambda x: k.isNull() if x else F.lit(False),  # noqa: B023
-                "type": lambda x: k.isNotNull() & (k != "null") & ~fits(k, x),  # noqa: B023
-                "nullable": lambda x: k == "null" if not x else F.lit(False),  # noqa: B023
-                "min": lambda x: number < x,  # noqa: B023
-                "max": lambda x: number > x,  # noqa: B023
-                "min_length": lambda x: length < x,  # noqa: B023
-                "max_length": lambda x: length > x,  # noqa: B023
-                "pattern": lambda x: (k == "string") & ~text.rlike(x),  # noqa: B023
-                "enum": lambda x: k.isNotNull() & ~F.to_json(v).isin(*[json.dumps(i, ensure_ascii=False) for i in x]),  # noqa: B023
-                "items": lambda x: F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda i: ~fits(kind(i), x)),  # noqa: B023
-            }[test](x)
-            found.append(F.when(F.coalesce(broken, F.lit(False)), F.lit(f"{name}: {test}")))
+            if tests:
+                found.append(_field(v, name, tests))
+                tests = []
+            found += _messages(v, x, f"{name}.")
     return found
 
 
+def _field(v: Column, name: str, tests: list[tuple[str, Any]]) -> Column:
+    return _once(F.try_variant_get(v, _steps(name), "variant"), lambda one: _once(kind(one), lambda k: _broken(one, k, tests, name)))
+
+
+def _broken(v: Column, k: Column, tests: list[tuple[str, Any], ...], name: str) -> Column:
+    """Messages of one field of value v and kind k, or nulls."""
+    get = lambda as_: F.try_variant_get(v, "$", as_)
+    length = F.when(k == "string", F.octet_length(get("string"))).when(k == "array", F.size(get("array<variant>")))
+    number = F.when(k.isin("int", "float"), get("double"))
+    fits = lambda k, t: k.isin("int", "float") if t == "number" else k == t
+    broken = {
+        "required": lambda x: k.isNull() if x else F.lit(False),
+        "type": lambda x: k.isNotNull() & (k != "null") & ~fits(k, x),
+        "nullable": lambda x: k == "null" if not x else F.lit(False),
+        "min": lambda x: number < x,
+        "max": lambda x: number > x,
+        "min_length": lambda x: length < x,
+        "max_length": lambda x: length > x,
+        "pattern": lambda x: (k == "string") & ~get("string").rlike(x),
+        "enum": lambda x: k.isNotNull() & ~F.to_json(v).isin(*[json.dumps(i, ensure_ascii=False) for i in x]),
+        "items": lambda x: F.exists(get("array<variant>"), lambda i: ~fits(kind(i), x)),
+    }
+    return F.array(*[F.when(F.coalesce(broken[test](x), F.lit(False)), F.lit(f"{name}: {test}")) for test, x in tests])
+
+
 def terms(text: Column) -> Column:
     """Lower-case alphanumeric runs of two bytes or more."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.octet_length(t) >= 2)

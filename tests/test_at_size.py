@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from stratiform.operators import points, replicas, timeseries as ts
+from stratiform.operators import documents, points, replicas, timeseries as ts
 
 
 def test_history_to_the_microsecond(spark, tmp_path):
@@ -68,3 +68,16 @@ def test_rolling_of_dense_series(spark):
     whole = df.select("s", "ts", F.col("value").cast("decimal(10,2)").alias("value"))
     assert ts.rolling(whole, ["s"], "10 seconds", "sum").schema["rolled"].dataType.simpleString() == "decimal(20,2)"
     assert ts.rolling(whole, ["s"], "10 seconds", "avg").schema["rolled"].dataType.simpleString() == "decimal(14,6)"
+
+
+def test_validation_parses_a_document_once(spark):
+    doc = '{"a": "x", "o": {"n": 9, "s": "yy", "l": [1, "b"]}, "z": 1, "big": 1e400}'
+    df = spark.createDataFrame([(1, doc), (2, "no json"), (3, None), (4, "{}")], "id long, doc string")
+    rules = {"a": {"min_length": 2, "type": "int"}, "o": {"properties": {"n": {"max": 8, "min": 1}, "l": {"items": "string", "max_length": 1}}, "type": "array"}, "big": {"max": 5}, "r": {"required": True}}
+    out = df.select("id", documents.errors("doc", rules, additional=False).alias("e"))
+    assert {r.id: r.e for r in out.collect()} == {
+        1: ["a: min_length", "a: type", "o.n: max", "o.l: items", "o.l: max_length", "o: type", "big: max", "r: required", "additional: z"],
+        2: ["r: required"], 3: ["r: required"], 4: ["r: required"],
+    }
+    assert [r.e for r in df.select(documents.errors("doc", {}).alias("e")).collect()] == [[]] * 4
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") + out._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") == 1
